@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, lines, minhash, packing, quality
-from tessera.llm.common import read_table, shared_dir, small
+from tessera.llm.common import read_table, settle, shared_dir, small
 
 #: Share of good documents among those of a score; lower ones are more likely bad than good.
 LEAST_QUALITY = 0.5
@@ -24,6 +24,7 @@ LEAST_QUALITY = 0.5
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
     """``docs`` with columns x0, x1, …; the new name of each; the old names."""
+    settle(docs.sparkSession)
     names = docs.columns
     return docs.toDF(*(f"x{i}" for i in range(len(names)))), {n: f"x{i}" for i, n in enumerate(names)}, names
 
@@ -59,6 +60,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    settle(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

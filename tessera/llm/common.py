@@ -15,7 +15,17 @@ BROADCAST_ROWS = 500_000
 WHITE_SPACE = "\t-\r \x85\xa0" + "{}{}-{}{}{}{}{}{}".format(*map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+#: Rows of a batch that a Python worker holds; texts may be long.
+BATCH_ROWS = 2_000
+
+
+def settle(spark: SparkSession) -> None:
+    """Session settings that the operators count on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
