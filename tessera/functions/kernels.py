@@ -133,6 +133,32 @@ class Kernels:
         """Rolling from the first row on, with half of the window's values at least."""
         return self.time(f"case when count({x}) over {self._w(n)} >= {max(1, n // HALF)} then {fn}({x}) over {self._w(n)} end")
 
+    def moment(self, x: str, n: int, kind: str) -> str:
+        """Bias-corrected skewness or excess kurtosis over what the frame has, from half of it on."""
+        w, least = self._w(n), max(1, n // HALF, 3 if kind == "skew" else 4)
+        c = f"(count({x}) over {w})"
+        if not self.spark:
+            value = f"{'skewness' if kind == 'skew' else 'kurtosis'}({x}) over {w}"
+        elif kind == "skew":
+            value = f"(skewness({x}) over {w}) * sqrt({c} * ({c} - 1e0)) / ({c} - 2)"
+        else:
+            value = f"({c} - 1e0) / (({c} - 2) * ({c} - 3)) * (({c} + 1) * (kurtosis({x}) over {w}) + 6)"
+        return self.time(f"case when {c} >= {least} then {value} end")
+
+    def ts_rank(self, x: str, n: int) -> str:
+        """(mean rank of the last value - 1) / (rows of the frame - 1); needs two values."""
+        values, size = self._list(x, n), "size" if self.spark else "len"
+        count = lambda op: f"{size}({f'filter({values}, e -> e {op} {x})' if self.spark else f'list_filter({values}, lambda e: e {op} {x})'})"
+        rows = f"(count(*) over {self._w(n)})"
+        return self.time(f"case when {x} is not null and {size}({values}) >= 2 then ({count('<')} + ({count('=')} + 1) / 2e0 - 1) / ({rows} - 1) end")
+
+    def ewm_adjusted(self, x: str, span: int, least: int, n: int) -> str:
+        """Exponential mean with weights that sum to 1 over the values seen, over ``n`` rows at most."""
+        a = 2 / (span + 1)
+        step = {"u": f"case when v is null then {1 - a!r} * a.u else {1 - a!r} * a.u + v end", "d": f"case when v is null then {1 - a!r} * a.d else {1 - a!r} * a.d + 1 end"}
+        fold = self._fold(self._rows(x, n), {"u": "0e0", "d": "0e0"}, step, "a.u / nullif(a.d, 0)", missing=True)
+        return self.time(f"case when count({x}) over {self._w(n)} >= {least} then {fold} end")
+
     # --- lists over a frame --------------------------------------------------------------------
 
     def _list(self, x: str, n: int) -> str:

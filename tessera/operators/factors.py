@@ -322,7 +322,7 @@ def emitted_columns(k: Kernels, module: Module, trim: float, digits: int | None)
     out = {}
     for name, sql in raw_columns(k, module).items():
         z = k.cs_z_trimmed(k.hold(sql), trim)
-        out[name] = z if digits is None else f"round({z}, {digits}) + 0e0"
+        out[name] = z if digits is None else f"round({z} * 1.00000000001e0, {digits}) + 0e0"
     return out
 
 

@@ -2,7 +2,7 @@
 
 ``PANEL_SCHEMA`` is the logical schema. NULL means missing; NaN and infinities become NULL where
 data comes in. The three ``panel_*`` functions derive panels from the TPC-H-like tables, and
-``PANEL_SQL`` has the same derivations as SQL for another engine. Attributes are rounded to six
+``PANEL_SQL`` has the same derivations as SQL for another engine. Attributes are rounded to nine
 decimals, so that sums in another order give equal values and equal ranks.
 """
 
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Moves values off exact halves, which engines round in different ways.
+OFF_HALF = 1.0000000000001
 PRICES = ("open", "high", "low", "close", "close_uq", "vwap")
 NUMBERS = (*PRICES, "turnover", "volume", "market_cap", "peTTM", "pbMRQ", "psTTM", "pcfNcfTTM")
 PANEL_SCHEMA = T.StructType([
@@ -37,8 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _six(x: Column) -> Column:
-    return F.round(x, 6)
+def _rounded(x: Column) -> Column:
+    return F.round(x * OFF_HALF, 9)
 
 
 def _market(lines: DataFrame) -> DataFrame:
@@ -46,19 +48,19 @@ def _market(lines: DataFrame) -> DataFrame:
     u, q, e = F.col("u"), F.col("l_quantity"), F.col("l_extendedprice")
     close = F.percentile(u, F.lit(0.75))
     rows = lines.groupBy("key", "code").agg(
-        _six(F.percentile(u, F.lit(0.25))).alias("open"),
-        _six(F.max(u)).alias("high"),
-        _six(F.min(u)).alias("low"),
-        _six(close).alias("close"),
-        _six(close * (1 - F.avg("l_discount") / 10)).alias("close_uq"),
-        _six(F.sum(e) / F.sum(q)).alias("vwap"),
-        _six(F.sum(q) / 10000).alias("turnover"),
-        _six(F.sum(q)).alias("volume"),
-        _six(F.sum(e * (1 - F.col("l_discount")))).alias("market_cap"),
-        _six(10 + 100 * F.avg("l_tax")).alias("peTTM"),
-        _six(1 + 10 * F.avg("l_discount")).alias("pbMRQ"),
-        _six(1 + F.avg(q) / 10).alias("psTTM"),
-        _six(5 + 100 * F.avg(F.col("l_tax") * F.col("l_discount"))).alias("pcfNcfTTM"),
+        _rounded(F.percentile(u, F.lit(0.25))).alias("open"),
+        _rounded(F.max(u)).alias("high"),
+        _rounded(F.min(u)).alias("low"),
+        _rounded(close).alias("close"),
+        _rounded(close * (1 - F.avg("l_discount") / 10)).alias("close_uq"),
+        _rounded(F.sum(e) / F.sum(q)).alias("vwap"),
+        _rounded(F.sum(q) / 10000).alias("turnover"),
+        _rounded(F.sum(q)).alias("volume"),
+        _rounded(F.sum(e * (1 - F.col("l_discount")))).alias("market_cap"),
+        _rounded(10 + 100 * F.avg("l_tax")).alias("peTTM"),
+        _rounded(1 + 10 * F.avg("l_discount")).alias("pbMRQ"),
+        _rounded(1 + F.avg(q) / 10).alias("psTTM"),
+        _rounded(5 + 100 * F.avg(F.col("l_tax") * F.col("l_discount"))).alias("pcfNcfTTM"),
     )
     return rows.withColumns({"stock_name": F.concat(F.lit("n "), "code"), "tradestatus": F.lit(1).cast("tinyint"), "isST": F.lit(0).cast("tinyint")}).select(*PANEL_SCHEMA.names)
 
@@ -85,7 +87,7 @@ def panel_supp_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days x users of the event stream: (key, code, close, volume)."""
     events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("key"), F.col("user_id").cast("string").alias("code"), "value")
-    return events.groupBy("key", "code").agg(_six(F.avg("value")).alias("close"), F.count("*").cast("double").alias("volume"))
+    return events.groupBy("key", "code").agg(_rounded(F.avg("value")).alias("close"), F.count("*").cast("double").alias("volume"))
 
 
 def calendar(panel: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def with_lookback(panel: DataFrame, start, n_days: int) -> DataFrame:
 def _market_sql(code: str, source: str) -> str:
     u = "l_extendedprice / l_quantity"
     close = f"quantile_cont({u}, 0.75::double)"
-    r = lambda x: f"round({x}, 6)"
+    r = lambda x: f"round(({x}) * {OFF_HALF!r}e0, 9)"
     return f"""select cast(date_trunc('week', cast(l_shipdate as date)) as date) as key, {code} as code, 'n ' || {code} as stock_name,
  {r(f"quantile_cont({u}, 0.25::double)")} as open, {r(f"max({u})")} as high, {r(f"min({u})")} as low, {r(close)} as close,
  {r(f"{close} * (1 - avg(l_discount) / 10)")} as close_uq, {r("sum(l_extendedprice) / sum(l_quantity)")} as vwap, {r("sum(l_quantity) / 10000")} as turnover,
@@ -135,7 +137,7 @@ def _market_sql(code: str, source: str) -> str:
 PANEL_SQL = {
     "brand_week": _market_sql("p_brand", "lineitem join part on l_partkey = p_partkey"),
     "supp_week": _market_sql("cast(l_suppkey as varchar)", "lineitem"),
-    "user_day": "select cast(ts as date) as key, cast(user_id as varchar) as code, round(avg(value), 6) as close, cast(count(*) as double) as volume from events group by 1, 2",
+    "user_day": "select cast(ts as date) as key, cast(user_id as varchar) as code, round(avg(value) * 1.0000000000001e0, 9) as close, cast(count(*) as double) as volume from events group by 1, 2",
 }
 PANELS = {"brand_week": panel_brand_week, "supp_week": panel_supp_week, "user_day": panel_user_day}
 
