@@ -69,7 +69,8 @@ def information_coefficients(dense: DataFrame, signal: str, fwd: int, prefixes:
 
 
 def _safe_corr(a: str, b: str) -> Column:
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    """Pearson correlation, missing without spread (``corr`` raises there under ANSI rules)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
 def _or_zero(x: Column) -> Column:

@@ -1,0 +1,184 @@
+"""Kernels against slow pandas code that was written without them."""
+
+import datetime as dt
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tessera.functions.kernels import Kernels
+from tessera.sources.panel import clean, densify
+
+DAYS, CODES = 40, 4
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(7)
+    out = []
+    for c in range(CODES):
+        price = 10 + c
+        for t in range(DAYS):
+            price *= 1 + rng.normal(0, 0.02)
+            if c == 1 and t < 5 or c == 2 and t in (11, 12, 30):
+                continue  # listed late; absent for some days
+            out.append((dt.date(2020, 1, 1) + dt.timedelta(days=t), f"c{c}", float("nan") if (c, t) == (0, 20) else price, float(rng.integers(1, 5))))
+    return out
+
+
+@pytest.fixture(scope="module")
+def dense(spark, rows):
+    return densify(clean(spark.createDataFrame(rows, "key date, code string, close double, volume double"))).cache()
+
+
+@pytest.fixture(scope="module")
+def wide(rows):
+    pdf = pd.DataFrame(rows, columns=["key", "code", "close", "volume"])
+    return {c: pdf.pivot(index="key", columns="code", values=c) for c in ("close", "volume")}
+
+
+def compute(dense, build):
+    k = Kernels(rows=130)
+    out = k.apply(dense, {"x": build(k)}).toPandas()
+    return {(r.key, r.code): (None if r.x is None or isinstance(r.x, float) and math.isnan(r.x) else r.x) for r in out.itertuples()}
+
+
+def expect(got, frame, present):
+    for key in frame.index:
+        for code in frame.columns:
+            if not pd.isna(present.at[key, code]):
+                want, have = frame.at[key, code], got[key, code]
+                if pd.isna(want):
+                    assert have is None, (key, code, have)
+                else:
+                    assert have == pytest.approx(want, rel=1e-9, abs=1e-12), (key, code)
+
+
+def full_frame(x, w, fn, least=None):
+    """``fn`` over full frames with enough values."""
+    out = pd.DataFrame(np.nan, index=x.index, columns=x.columns)
+    for c in x.columns:
+        v = x[c].to_numpy()
+        for t in range(w - 1, len(v)):
+            part = v[t - w + 1 : t + 1]
+            if (~np.isnan(part)).sum() >= (max(1, w // 2) if least is None else least):
+                out.iloc[t, out.columns.get_loc(c)] = fn(part)
+    return out
+
+
+CASES = {
+    "lag": (lambda k: k.lag("close", 3), lambda x: x.shift(3)),
+    "pct": (lambda k: k.pct("close", 2), lambda x: (x - x.shift(2)) / x.shift(2)),
+    "mean": (lambda k: k.mean("close", 6), lambda x: full_frame(x, 6, np.nanmean)),
+    "std": (lambda k: k.std("close", 6), lambda x: full_frame(x, 6, np.nanstd)),
+    "sum": (lambda k: k.sum("close", 6), lambda x: full_frame(x, 6, np.nansum)),
+    "max": (lambda k: k.max("close", 6), lambda x: full_frame(x, 6, np.nanmax, 1)),
+    "rolling": (lambda k: k.expanding("close", 6, "stddev_samp"), lambda x: x.rolling(6, min_periods=3).std()),
+    "skew": (lambda k: k.moment("close", 10, "skew"), lambda x: x.rolling(10, min_periods=5).skew()),
+    "kurt": (lambda k: k.moment("close", 10, "kurt"), lambda x: x.rolling(10, min_periods=5).kurt()),
+    "ewm": (lambda k: k.ewm("close", 5), lambda x: x.ewm(span=5, adjust=False, ignore_na=True).mean()),
+    "ewm_adjusted": (lambda k: k.ewm_adjusted("close", 5, 3, 130), lambda x: x.ewm(span=5, min_periods=3).mean()),
+    "drawdown": (lambda k: k.drawdown("close", 5), lambda x: full_frame(x, 5, lambda v: (v / np.maximum.accumulate(v) - 1).min(), 5)),
+    "z": (lambda k: k.cs_z("close"), lambda x: x.sub(x.mean(axis=1), axis=0).div(x.std(axis=1), axis=0).fillna(0)),
+    "z_pop": (lambda k: k.cs_z_pop("close"), lambda x: x.sub(x.mean(axis=1), axis=0).div(x.std(axis=1, ddof=0), axis=0)),
+    "demean": (lambda k: k.cs_demean("close"), lambda x: x.sub(x.mean(axis=1), axis=0)),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_against_pandas(dense, wide, name):
+    build, slow = CASES[name]
+    expect(compute(dense, build), slow(wide["close"]), wide["volume"])
+
+
+def test_rank_counts_missing_rows(dense, wide):
+    close, there = wide["close"], wide["volume"]
+    want = close.rank(axis=1).sub(1).div(there.notna().sum(axis=1) - 1, axis=0)
+    expect(compute(dense, lambda k: k.cs_rank("close")), want, there)
+
+
+def test_rank_of_last_value(dense, wide):
+    def slow(v):
+        last = v[-1]
+        ok = v[~np.isnan(v)]
+        return ((ok <= last).sum() - 1) / max(len(ok) - 1, 1)
+
+    want = full_frame(wide["close"], 8, slow).where(wide["close"].notna())
+    expect(compute(dense, lambda k: k.rank_pct("close", 8, 7)), want, wide["volume"])
+
+
+def test_indicators_count_missing_as_no(dense, wide):
+    r = wide["close"].pct_change(fill_method=None)
+    want = full_frame((r > 0).astype(float), 7, np.sum)
+    expect(compute(dense, lambda k: k.flags(f"{k.pct('close')} > 0", 7)), want, wide["volume"])
+
+
+def test_first_run_keeps_the_first(dense, wide):
+    def slow(v):
+        n = 0
+        for x in v:
+            if x:
+                n += 1
+            elif n:
+                break
+        return n / len(v)
+
+    r = (wide["close"].pct_change(fill_method=None) > 0).astype(float)
+    expect(compute(dense, lambda k: k.first_run(f"{k.pct('close')} > 0", 9)), full_frame(r, 9, slow), wide["volume"])
+
+
+def test_new_highs(dense, wide):
+    def slow(v):
+        v = v[~np.isnan(v)]
+        return sum(v[i] > v[:i].max() for i in range(1, len(v)))
+
+    expect(compute(dense, lambda k: k.new_highs("close", 8)), full_frame(wide["close"], 8, slow, 0), wide["volume"])
+
+
+def test_autocorrelation(dense, wide):
+    x = wide["close"].pct_change(fill_method=None)
+    y = x.shift(1)
+    m = lambda v: full_frame(v, 9, np.nanmean, 4)
+    cov = m(x * y) - m(x) * m(y)
+    want = cov / np.sqrt((m(x * x) - m(x) ** 2).clip(lower=0) * (m(y * y) - m(y) ** 2).clip(lower=0))
+    want.iloc[:9] = np.nan
+    expect(compute(dense, lambda k: k.autocorr(k.hold(k.pct("close")), 10)), want, wide["volume"])
+
+
+def test_residual(dense, wide):
+    y, by = wide["close"], wide["volume"]
+    z = by.sub(by.mean(axis=1), axis=0).div(by.std(axis=1), axis=0).fillna(0)
+    want = y.copy()
+    for key in y.index:
+        ok = y.loc[key].notna()
+        if ok.sum() < 3:
+            want.loc[key] = y.loc[key] - y.loc[key].mean()
+            continue
+        a, b = z.loc[key][ok], y.loc[key][ok]
+        beta = (a * b).sum() / (a * a).sum() if (a * a).sum() else 0
+        want.loc[key] = y.loc[key] - beta * z.loc[key]
+    expect(compute(dense, lambda k: k.cs_residual("close", "volume")), want, by)
+
+
+def test_stages_put_time_before_day():
+    k = Kernels()
+    r = k.hold(k.pct("close"))
+    rank = k.cs_rank(r)
+    k.lag(rank, 5)
+    kinds = [{k.nodes[n][0] for n in s} for s in k.stages()]
+    assert kinds == [{"time"}, {"time"}, {"day"}, {"time"}]
+
+
+def test_no_look_ahead(spark, rows):
+    """Cutting the panel after a day doesn't change that day."""
+    from tessera.operators.factors import MODULES, Module, emitted_columns
+
+    m = MODULES["trend_cs"]
+    day = dt.date(2020, 1, 30)
+    out = []
+    for part in (rows, [r for r in rows if r[0] <= day]):
+        d = densify(clean(spark.createDataFrame(part, "key date, code string, close double, volume double")))
+        k = Kernels("spark", m.window)
+        out.append(k.apply(d, emitted_columns(k, m, 0.01, 9)).where(f"key = date'{day}'").orderBy("code").collect())
+    assert out[0] == out[1] and isinstance(m, Module)
