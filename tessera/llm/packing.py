@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 #: Partially filled windows that a task holds before it joins them.
 MAX_OPEN = 4096
-#: Distinct words whose ids a worker keeps.
-MAX_WORDS = 200_000
+#: Distinct words, and distinct words with the marks around them, whose ids a worker keeps.
+MAX_WORDS = 600_000
 
 # Texts of these characters only (ASCII without control characters, Latin-1 and Latin Extended-A
 # letters that lower to one character) are split at white space before the tokenizer sees them:
@@ -49,28 +50,57 @@ def _tokenizer(path: str):
     return tok
 
 
+#: The pre-tokens of the vocabulary file, as its own pattern has them.
+_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class WordEncoder:
-    """Ids of a text by a tokenizer that drops white space, with a bounded store of known words."""
+    """Ids of a text by a tokenizer that lowers case and drops white space.
+
+    Words between white space, and the pre-tokens in them, are kept with their ids in two stores of
+    bounded size, so the merges run once for each pre-token while it is in the store.
+    """
 
     def __init__(self, path: str, end_id: int):
-        self.tok, self.end, self.known = _tokenizer(path), end_id, {}
+        self.tok, self.end = _tokenizer(path), end_id.to_bytes(4, "little")
+        self.words, self.pieces = _stores(path)
 
     def __call__(self, text: str) -> np.ndarray:
         if not _PLAIN.fullmatch(text):
-            return np.array([*self.tok.encode(text, add_special_tokens=False).ids, self.end], "<u4")
-        words = text.split()
-        known = self.known
-        try:
-            parts = [known[w] for w in words]
-        except KeyError:
-            new = [w for w in set(words) if w not in known]
+            return np.frombuffer(np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end, "<u4")
+        words = text.lower().split()
+        known = self.words
+        new = set(words).difference(known)
+        if new:
             if len(known) + len(new) > MAX_WORDS:
                 known.clear()
-                new = list(set(words))
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)))
-            parts = [known[w] for w in words]
-        parts.append(self.end.to_bytes(4, "little"))
-        return np.frombuffer(b"".join(parts), "<u4")
+                new = set(words)
+            if len(self.pieces) > MAX_WORDS:
+                self.pieces.clear()
+            ids, model = self.pieces, self.tok.model
+            for w in new:
+                parts = _PRE.findall(w)
+                for p in parts:
+                    if p not in ids:
+                        ids[p] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS))])
+                known[w] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+        return np.frombuffer(b"".join([*[known[w] for w in words], self.end]), "<u4")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in the vocabulary: itself if it is
+    printable, else the next of those from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+@functools.lru_cache(1)
+def _stores(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    return {}, {}
 
 
 class Packer:
