@@ -570,6 +570,42 @@ def _(spark, sf_dir):
     return synthetic.synthetic_panel(spark, n_times=60, n_stocks=8)
 
 
+def _small_market(spark: SparkSession):
+    from tessera.plans.dag import PipelineConfig
+    from tessera.plans.research import market_panel
+
+    config = PipelineConfig(n_times=150, n_stocks=8, fwd=2, model_window=10, retrain_every=10, num_groups=2, initial_cash=1e6)
+    return market_panel(spark, config), config
+
+
+@query("research_ic")
+def _(spark, sf_dir):
+    from tessera.plans.research import research
+
+    return research(*_small_market(spark), modules=("momentum", "trend_cs", "counting")).ic
+
+
+@query("research_nav")
+def _(spark, sf_dir):
+    from tessera.plans.research import research
+
+    return research(*_small_market(spark), modules=("momentum", "trend_cs", "counting")).nav
+
+
+@query("precision_study")
+def _(spark, sf_dir):
+    from tessera.plans.research import precision_study
+
+    return precision_study(dense(spark, sf_dir), FWD)
+
+
+@query("noise_sweep")
+def _(spark, sf_dir):
+    from tessera.plans.research import noise_sweep
+
+    return noise_sweep(spark, _small_market(spark)[1], (0.0, 1.0, 4.0))
+
+
 @query("stream_row_window", f"""with w as (select code, key, close, count(*) over r as n_rows, avg(close) over r as mean, lag(close) over (partition by code order by key) as before from ({USER}) window r as (partition by code order by key rows between 4 preceding and current row))
  select code, key, cast(n_rows as int) as n_rows, {rnd('mean')} as mean, {rnd('case when before is null or before = 0 then null else (close - before) / before end')} as change from w""")
 def _(spark, sf_dir):
