@@ -7,7 +7,7 @@ multiplied by what the names on the path say (menus, adverts and the like weigh
 are smoothed over the page's blocks in order, averaged per path again and thresholded at a share of
 the page's text-weighted mean. The paths above the threshold name the content node: the deepest
 element that holds all of them, weighted by text. All blocks below it are kept but those whose
-path weighs nothing.
+path weighs nothing and, without an element for the article, those before and after what was chosen.
 
 Defined cases: null or empty html, and pages without text, give an empty text; repeated rows give
 a row each; null ids and addresses are kept; broken markup is read as far as it goes (unclosed
@@ -218,10 +218,11 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     ids = tuple(e[1] for e in node)
     kept = [i for i, b in enumerate(blocks) if weighs[i] and tuple(e[1] for e in b.path[: len(ids)]) == ids]
     if not any(e[0] in ("article", "main") for e in node):
-        good = {names[i] for i in chosen}
+        # without an element for the article it goes from the first to the last chosen block, with
+        # headings before it; what is mostly links in between isn't part of it
         heading = {"h1", "h2", "h3", "h4", "h5", "h6"}
-        inner = {names[i][: len(names[i]) - 1] for i in chosen}
-        kept = [i for i in kept if names[i] in good or (names[i] and names[i][-1] in heading and names[i][:-1] in inner)]
+        first, last, good = chosen[0], chosen[-1], set(chosen.tolist())
+        kept = [i for i in kept if i in good or first < i < last and blocks[i].link <= sizes[i] / 2 or i < first and blocks[i].path and blocks[i].path[-1][0] in heading]
     return [blocks[i] for i in kept]
 
 
