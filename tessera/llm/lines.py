@@ -1,10 +1,10 @@
 """Removal of repeated lines and sentences, by digests that are grouped over the whole corpus.
 
-A document is cut into lines, and lines of several sentences also into sentences. A unit is
-normalised to its lower-case words. Lines and sentences of at least ``LEAST_WORDS`` words are known
-by their own words; a shorter sentence by its words and those before it in the document, up to
-``LEAST_WORDS`` in all, so that a common short sentence counts as repeated only where what leads to
-it is repeated too. Shorter lines and openings are left alone.
+A document is cut into lines, and lines of several sentences into sentences. A unit is normalised to
+its lower-case words. Units of at least ``LEAST_WORDS`` words are known by their own words; a shorter
+sentence by its words and those before it in the document, up to ``LEAST_WORDS`` in all, so that a
+common short sentence counts as repeated only where what leads to it is repeated too. A line that
+begins with a short sentence is also known as a whole. Shorter lines and openings are left alone.
 
 Per digest the smallest id keeps its (first) occurrence; all others go, with the white space after
 them. A document's own repetitions are found where it is read, so the shuffle holds a digest at most
@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, small
 
 LEAST_WORDS = 8
+#: Repeated digests (24 bytes each) up to which they are broadcast.
+BROADCAST_DIGESTS = 50_000
 
 _LINE = re.compile(r"[^\n]+\n*|\n+")
-_SENTENCE = re.compile(r"(?:(?![.!?…][\s\"'”»)]*\s)[\s\S])*(?:[.!?…][\s\"'”»)]*\s+|$)")
+_END = re.compile(r"[.!?…][\"'”»)]*\s+")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -40,25 +42,35 @@ def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, str]]
     """``(start, end, key)`` of each unit that can be removed; a line comes before its sentences."""
     before: list[str] = []  # the last words of the document so far
     for line in _LINE.finditer(text):
-        start, body = line.start(), line[0]
-        words = _WORD.findall(body.lower())
-        if len(words) >= least:
-            yield start, line.end(), "l " + " ".join(words)
-        cuts = [m.span() for m in _SENTENCE.finditer(body) if m.end() > m.start()] if words else []
-        if len(cuts) > 1:
-            for a, b in cuts:
-                own = _WORD.findall(body[a:b].lower())
-                if len(own) >= least:
-                    yield start + a, start + b, "s " + " ".join(own)
-                elif own and len(known := [*before[len(own) - least :], *own]) >= least:
-                    yield start + a, start + b, "c " + " ".join(known)
+        start, stop = line.span()
+        at = start
+        parts = []  # (start, end, words) of the sentences; the line's last one ends with the line
+        for m in _END.finditer(text, start, stop):
+            parts.append((at, m.end(), _WORD.findall(text[at : m.end()].lower())))
+            at = m.end()
+        if at < stop:
+            parts.append((at, stop, _WORD.findall(text[at:stop].lower())))
+        if len(parts) == 1 or len(parts[0][2]) < least:
+            words = [w for p in parts for w in p[2]]
+            if len(words) >= least:
+                # a line of several sentences has a key that none of its sentences can have
+                yield start, stop, ("" if len(parts) == 1 else "\n") + " ".join(words)
+            if len(parts) == 1:
+                before = [*before, *words][-least:]
+                continue
+        for a, b, own in parts:
+            if len(own) >= least:
+                yield a, b, " ".join(own)
+                before = own[-least:]
+            elif own:
                 before = [*before, *own][-least:]
-        else:
-            before = [*before, *words][-least:]
+                if len(before) == least:
+                    yield a, b, " ".join(before)
 
 
 def _digests(text: str) -> list[tuple[int, int, bytes]]:
-    return [(a, b, xxhash.xxh3_128_digest(key.encode())) for a, b, key in units(text)]
+    digest = xxhash.xxh3_128_digest
+    return [(a, b, digest(key)) for a, b, key in units(text)]
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +92,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     places = source.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint")
     firsts = places.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nulls"))
     firsts = cut(firsts.where("first != last or (nulls and first is not null)").select("h1", "h2", "first"))
-    again = places.join(small(firsts), ["h1", "h2"]).where("id is null or id != first")
+    again = places.join(small(firsts, BROADCAST_DIGESTS), ["h1", "h2"]).where("id is null or id != first")
     return again.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
 
 
