@@ -10,11 +10,14 @@ whole shingle sets confirm the rest.
    soon as the posterior of at least the threshold falls below ``MISS``.
 4. Survivors are confirmed on the full sets.
 
-No bucket is expanded into its pairs. A bucket's members are compared with one of them, links are
-joined into components, and a bucket whose members are all in one component is done. What stays
-open after the second such round is compared in tiles of at most ``TILE`` x ``TILE`` members, which
-give out only pairs of different components that survive step 3. So a link between two texts is
-only left untested where both are in one component already, however large the bucket is.
+No bucket is expanded into its pairs. First every bucket's members are compared with its smallest id,
+then with the text closest to that one, which in a family of edited copies is the text they came
+from; links are joined into components, and a bucket whose members are all in one component is done.
+What stays open is compared in tiles of at most ``TILE`` x ``TILE`` members and about ``TILE_BYTES``
+of text, which test pairs of different components only, do steps 3 and 4 in place and give out a
+spanning set of the links they find. Buckets that overlap are tiled as one family where that takes
+fewer comparisons than tiling each. So a link between two texts is only left untested where both
+are in one component already, however large the bucket is.
 
 Defined cases: a text with fewer words than a shingle has its whole sequence as one shingle; null
 texts and texts without words have the empty set and link with nothing; null ids link with nothing;
@@ -39,7 +42,7 @@ HASHES, BANDS, ROWS = 128, 32, 4
 BATCH = 16
 #: Posterior probability of similarity at the threshold below which a pair is dropped.
 MISS = 1e-6
-TILE = 256
+TILE, TILE_BYTES = 512, 8_000_000
 #: Distinct words whose hash a worker keeps.
 MAX_WORDS = 200_000
 
@@ -130,12 +133,16 @@ def _signatures(source: DataFrame, width: int) -> DataFrame:
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, sig binary")
 
 
+def _band_key(sig: bytes, band: int) -> int:
+    return xxhash.xxh3_64_intdigest(sig[4 * ROWS * band : 4 * ROWS * (band + 1)], band) - (1 << 63)
+
+
 def _bands(reps: DataFrame) -> DataFrame:
     """``(key, id)``: a row for each band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [xxhash.xxh3_64_intdigest(s[16 * k : 16 * k + 16], k) - (1 << 63) for s in batch.column(1).to_pylist() for k in range(BANDS)]
+            keys = [_band_key(s, k) for s in batch.column(1).to_pylist() for k in range(BANDS)]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids], ["key", "id"])
 
@@ -147,7 +154,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that survive the batches and whose sets have the similarity."""
+    """(a, b, sim): the pairs that survive the batches and whose sets have the similarity."""
     kind = pairs.schema["a"].dataType.simpleString()
     sig = reps.select("id", "sig")
 
@@ -166,46 +173,80 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, source: DataFrame, width: int,
         shingle = Shingler(width)
         last_text, last = None, None
         for batch in batches:
-            keep = []
+            keep, sims = [], []
             for x, y in zip(batch.column("ta"), batch.column("tb")):
                 x = x.as_py()
                 if x != last_text:
                     last_text, last = x, shingle(x)
                 other = shingle(y.as_py())
                 both = len(np.intersect1d(last, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(last) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(last) + len(other) - both
+                keep.append(100 * both >= percent * union)
+                sims.append(both / max(1, union))
+            out = batch.select(["a", "b"]).append_column("sim", pa.array(sims, pa.float64()))
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     joined = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.mapInArrow(confirm, f"a {kind}, b {kind}").distinct()
-
-
-def _tiles(open_members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket and different components that survive the batches."""
-    sizes = open_members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
-    sizes = cut(sizes)
-    kind = open_members.schema["id"].dataType.simpleString()
-    own = open_members.join(small(sizes), "key").withColumn("k", F.pmod(F.xxhash64("id"), "t").cast("int"))
+    return joined.mapInArrow(confirm, f"a {kind}, b {kind}, sim double").dropDuplicates(["a", "b"])
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Open members (key, id, a, c) as (band_key, g, id, c): by family where that is less work, else by bucket."""
+    family = connected_components(rows.where("id != a").select("a", F.col("id").alias("b")))
+    rows = cut(rows.join(small(cut(family.withColumnRenamed("component", "f"))), "id"))
+    by_bucket = rows.groupBy("f", "key").agg(F.count("*").alias("n")).groupBy("f").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    by_family = rows.select("f", "id").distinct().groupBy("f").agg((F.count("*") * F.count("*")).alias("together"))
+    dense = cut(by_bucket.join(by_family, "f").select("f", (F.col("together") <= F.col("apart")).alias("dense")))
+    rows = rows.join(small(dense), "f")
+    whole = rows.where("dense").select(F.lit(None).cast("bigint").alias("band_key"), F.xxhash64("f").alias("g"), "id", "c").distinct()
+    return whole.unionByName(rows.where("not dense").select(F.col("key").alias("band_key"), F.col("key").alias("g"), "id", "c"))
+
+
+def _tiles(groups: DataFrame, reps: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """Spanning links (a, b) between members of a group that are in different components."""
+    kind = groups.schema["id"].dataType.simpleString()
+    needed = cut(groups.select("id").distinct())
+    texts = source.join(small(needed), "id").select("id", "text", F.length("text").alias("size"))
+    members = cut(groups.join(texts, "id").join(reps.select("id", "sig"), "id"))
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_BYTES)).cast("int")
+    sizes = cut(members.groupBy("band_key", "g").agg(tiles.alias("t")).select("g", F.coalesce("band_key", F.lit(0)).alias("b"), "t"))
+    own = members.withColumn("b", F.coalesce("band_key", F.lit(0))).join(small(sizes), ["g", "b"]).withColumn("k", F.pmod(F.xxhash64("id"), "t").cast("int"))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j"))))
-    rows = own.select("key", "k", "c", "id", other.alias("tile")).select("key", "k", "c", "id", "tile.i", "tile.j").join(reps.select("id", "sig"), "id")
+    rows = own.select("g", "b", "band_key", "k", "c", "id", "sig", "text", other.alias("tile")).select("*", "tile.i", "tile.j").drop("tile")
 
     def run(table: pa.Table) -> pa.Table:
+        band_key = table.column("band_key")[0].as_py()
         k, i, j = (table.column(x).to_numpy() for x in ("k", "i", "j"))
         first, second = np.flatnonzero(k == i[0]), np.flatnonzero(k == j[0])
         sigs = _matrix(table.column("sig").combine_chunks())
-        parts = table.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
-        found: list[np.ndarray] = []
+        shingle = Shingler(width)
+        sets = [shingle(t.as_py()) for t in table.column("text")]
+        size = np.array([len(x) for x in sets])
+        parts = table.column("c").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        found: list[tuple[int, int]] = []
         for x in first:
-            y = second[(second > x) & (parts[second] != parts[x])] if i[0] == j[0] else second[parts[second] != parts[x]]
-            if len(y):
-                y = y[survivors(np.broadcast_to(sigs[x], (len(y), HASHES)), sigs[y], percent / 100)]
-                found.append(np.stack([np.full(len(y), x), y]))
-        at = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+            y = second[second > x] if i[0] == j[0] else second
+            y = y[(parts[y] != parts[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            if not len(y):
+                continue
+            y = y[survivors(np.broadcast_to(sigs[x], (len(y), HASHES)), sigs[y], percent / 100)]
+            # of a bucket, a pair belongs to the first band in which it agrees; of a family, it must agree in one
+            agree = (sigs[y] == sigs[x]).reshape(len(y), BANDS, ROWS).all(2)
+            if band_key is None:
+                y = y[agree.any(1)]
+            else:
+                y = y[[_band_key(sigs[x].tobytes(), int(b)) == band_key for b in agree.argmax(1)]]
+            for z in y.tolist():
+                if parts[z] != parts[x]:
+                    both = np.intersect1d(sets[x], sets[z], assume_unique=True).size
+                    if 100 * both >= percent * (size[x] + size[z] - both):
+                        found.append((int(x), z))
+                        parts[parts == parts[z]] = parts[x]
         ids = table.column("id").combine_chunks()
-        return pa.table({"a": ids.take(pa.array(at[0])), "b": ids.take(pa.array(at[1]))})
+        a, b = (pa.array([f[n] for f in found], pa.int64()) for n in (0, 1))
+        return pa.table({"a": ids.take(a), "b": ids.take(b)})
 
-    pairs = rows.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    return rows.groupBy("g", "b", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").where("a != b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -225,25 +266,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = cut(_confirmed(pairs, reps, source, width, percent))
     parts = cut(connected_components(edges))
 
-    def opened(parts: DataFrame, least: int) -> DataFrame:
-        """Members (key, id, c) of the buckets with several components and at least so many members."""
-        rows = held.join(small(parts), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    def opened(parts: DataFrame) -> DataFrame:
+        """Members (key, id, a, c) of the buckets with several components; a bucket of two is done."""
+        rows = held.join(small(parts), "id", "left").select("key", "id", "a", F.coalesce("component", "id").alias("c"))
         several = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n"))
-        return rows.join(small(cut(several.where(f"x != y and n >= {least}").select("key"))), "key")
+        return rows.join(small(cut(several.where("x != y and n > 2").select("key"))), "key")
 
-    rows = cut(opened(parts, 3))
+    rows = cut(opened(parts))
     if not rows.isEmpty():
-        leaders = rows.groupBy("key").agg(F.max(F.struct("c", "id")).alias("m")).select("key", F.col("m.c").alias("lc"), F.col("m.id").alias("l"))
-        more = rows.join(small(cut(leaders)), "key").where("c != lc").select(F.least("l", "id").alias("a"), F.greatest("l", "id").alias("b")).distinct()
+        closest = cut(edges.groupBy("a").agg(F.max(F.struct("sim", "b")).alias("m")).select("a", F.col("m.b").alias("id")))
+        leaders = closest.join(small(parts), "id").select("a", F.col("id").alias("l"), F.col("component").alias("lc"))
+        more = rows.join(small(cut(leaders)), "a").where("c != lc").select(F.least("l", "id").alias("a"), F.greatest("l", "id").alias("b")).distinct()
         more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        found = cut(_confirmed(more, reps, source, width, percent))
-        edges, pairs = edges.unionByName(found), pairs.unionByName(more)
-        parts = cut(connected_components(edges))
-        rows = cut(opened(parts, 4))
+        links = cut(edges.select("a", "b").unionByName(_confirmed(more, reps, source, width, percent).select("a", "b")))
+        parts = cut(connected_components(links))
+        rows = cut(opened(parts))
         if not rows.isEmpty():
-            more = cut(_tiles(rows, reps, percent).join(pairs, ["a", "b"], "left_anti"))
-            edges = edges.unionByName(cut(_confirmed(more, reps, source, width, percent)))
-            parts = cut(connected_components(edges))
+            links = links.unionByName(_tiles(cut(_groups(rows)), reps, source, width, percent))
+            parts = cut(connected_components(links))
 
     rep_of = sets.join(small(copies), ["h1", "h2"], "left").select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
     out = rep_of.join(small(parts.withColumnRenamed("id", "rep")), "rep", "left")
