@@ -35,6 +35,19 @@ def ic_columns(k: Kernels, signal: str, fwd: int) -> dict[str, str]:
     return {"pred_signal": f"case when {r} is not null then {signal} end", "fwd_ret": f"case when {signal} is not null then {r} end", "common": there, "close_buy": buy, "close_sell": sell}
 
 
+def ic_row_columns(k: Kernels, signal: str, fwd: int) -> dict[str, str]:
+    """Per code what a coefficient was made of, at the day of selling."""
+    own = ic_columns(k, signal, fwd)
+    r = k.hold(own["fwd_ret"])
+    return {"sell_key": k.lead("key", fwd), "close_buy": own["close_buy"], "close_sell": own["close_sell"], "fwd_ret": r, "cs_excess_fwd_ret": k.cs_z_pop(r), "pred_signal": own["pred_signal"], "common": own["common"]}
+
+
+def ic_rows(dense: DataFrame, signal: str, fwd: int) -> DataFrame:
+    k = Kernels()
+    rows = k.apply(dense, ic_row_columns(k, signal, fwd), ("code",)).where("common").drop("common")
+    return rows.withColumnRenamed("sell_key", "key")
+
+
 def information_coefficients(dense: DataFrame, signal: str, fwd: int, prefixes: tuple[str, ...] = ()) -> DataFrame:
     """A row per signal day: Pearson and rank coefficients of the signal and the forward return.
 

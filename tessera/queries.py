@@ -432,6 +432,17 @@ def _(spark, sf_dir):
     return round_frame(_ic(spark, sf_dir).withColumn("day_idx", F.col("day_idx").cast("bigint")))
 
 
+def _ic_rows_sql() -> str:
+    k = Kernels("duckdb")
+    rows = k.query(P.dense_sql(BRAND), signals.ic_row_columns(k, _SIGNAL, FWD), ("code",))
+    return round_sql(f"select *, sell_key as key from ({rows}) where common", "key code close_buy close_sell fwd_ret cs_excess_fwd_ret pred_signal", "close_buy close_sell fwd_ret cs_excess_fwd_ret pred_signal")
+
+
+@query("ic_rows", _ic_rows_sql())
+def _(spark, sf_dir):
+    return round_frame(signals.ic_rows(dense(spark, sf_dir), _SIGNAL, FWD))
+
+
 @query("ic_prefix", round_sql(signals.ic_sql(P.dense_sql(f"select * from ({BRAND}) where starts_with(code, 'Brand#1') or starts_with(code, 'Brand#2')"), _SIGNAL, FWD), "key n pearson_ic rank_ic", "pearson_ic rank_ic"))
 def _(spark, sf_dir):
     return round_frame(signals.information_coefficients(dense(spark, sf_dir), _SIGNAL, FWD, ("Brand#1", "Brand#2")).select("key", "n", "pearson_ic", "rank_ic"))
