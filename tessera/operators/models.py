@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.kernels import Kernels
+from tessera.operators.signals import correlation
 
 RIDGE_ALPHA = 42.0
 LEAST_DAYS, LEAST_ROWS = 10, 50
@@ -233,6 +234,26 @@ def time_series_folds(n_days: int, folds: int = 3) -> list[tuple[int, int, int]]
     return [(size * k + n_days - size * (folds + 1), size * k + n_days - size * (folds + 1), size * (k + 1) + n_days - size * (folds + 1) - 1) for k in range(1, folds + 1)] if size else []
 
 
+def cross_validation(rows: DataFrame, features: list[str], n_days: int, model: str = "ridge", folds: int = 3, least: int = 10, **settings) -> DataFrame:
+    """``(fold, n, rank_ic)``: mean daily rank correlation on the days after those trained on.
+
+    Folds grow over time and are cut at days, so no day is trained on and validated on.
+    """
+    ready = filled(rows.where(usable(features)), features)
+    out = None
+    for k, (n, a, b) in enumerate(time_series_folds(n_days, folds)):
+        fitted = MODELS[model](ready.where(F.col("day_idx") < n), features, **settings)
+        if fitted is None:
+            continue
+        held = fitted(ready.where(F.col("day_idx").between(a, b))).withColumn("present", F.lit(True))
+        kernels = Kernels()
+        ranked = kernels.apply(held, {"x": kernels.cs_rank("_pred"), "y": kernels.cs_rank("label")}, ("key",))
+        days = ranked.groupBy("key").agg(F.count("*").alias("n"), F.coalesce(correlation("x", "y"), F.lit(0.0)).alias("ic"))
+        fold = days.agg(F.lit(k).alias("fold"), F.sum("n").alias("n"), F.avg("ic").alias("rank_ic")).where(f"n >= {least}")
+        out = fold if out is None else out.unionByName(fold)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "fold int, n bigint, rank_ic double")
+
+
 def scaled_importance(importance: dict[str, float]) -> dict[str, float]:
     """Importances between 0 and 1, largest first."""
     low, high = min(importance.values()), max(importance.values())

@@ -67,8 +67,8 @@ def information_coefficients(dense: DataFrame, signal: str, fwd: int, prefixes:
     x = n.cast("double")
     days = valid.groupBy("key", "day_idx").agg(
         n.alias("n"),
-        _or_zero(_safe_corr("pred_signal", "fwd_ret")).alias("pearson_ic"),
-        _or_zero(_safe_corr("_r_pred_signal", "_r_fwd_ret")).alias("rank_ic"),
+        _or_zero(correlation("pred_signal", "fwd_ret")).alias("pearson_ic"),
+        _or_zero(correlation("_r_pred_signal", "_r_fwd_ret")).alias("rank_ic"),
         F.min("fwd_ret").alias("ret_min"),
         F.max("fwd_ret").alias("ret_max"),
         F.percentile("fwd_ret", F.lit(0.01)).alias("ret_p01"),
@@ -81,7 +81,7 @@ def information_coefficients(dense: DataFrame, signal: str, fwd: int, prefixes:
     return days.where(f"n > {LEAST}")
 
 
-def _safe_corr(a: str, b: str) -> Column:
+def correlation(a: str, b: str) -> Column:
     """Pearson correlation, missing without spread (``corr`` raises there under ANSI rules)."""
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 

@@ -535,7 +535,12 @@ def _(spark, sf_dir):
     return _rolling(spark, sf_dir, "mlp", 150, epochs=3)
 
 
-@query("model_importance_top", None)
+@query("model_cross_validation")
+def _(spark, sf_dir):
+    return round_frame(models.cross_validation(_training(spark, sf_dir), _FEATURES, P.calendar(P.panel_brand_week(spark, sf_dir)).count()))
+
+
+@query("model_importance_top")
 def _(spark, sf_dir):
     rows = _training(spark, sf_dir)
     model = models.ridge(models.filled(rows.where(models.usable(_FEATURES)), _FEATURES), _FEATURES)

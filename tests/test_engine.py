@@ -235,6 +235,15 @@ def test_training_days_leave_out_labels_that_reach_past_the_window():
     assert M.time_series_folds(40, 3) == [(10, 10, 19), (20, 20, 29), (30, 30, 39)]
 
 
+def test_cross_validation_finds_a_planted_signal(spark):
+    rng = np.random.default_rng(11)
+    cells = [(dt.date(2020, 1, 1) + dt.timedelta(days=t), f"c{i}", t, float(x), float(x + 0.1 * e)) for t in range(40) for i in range(10) for x, e in [rng.normal(size=2)]]
+    rows = spark.createDataFrame(cells, "key date, code string, day_idx int, a double, label double")
+    got = M.cross_validation(rows, ["a"], 40).orderBy("fold").collect()
+    assert [r.n for r in got] == [100, 100, 100] and all(r.rank_ic > 0.9 for r in got)
+    assert M.cross_validation(rows, ["a"], 2).count() == 0
+
+
 def test_usable_rows(spark):
     rows = spark.createDataFrame([(1.0, None, 1.0), (None, None, 1.0), (1.0, 1.0, None)], "a double, b double, label double")
     assert rows.where(M.usable(["a", "b"])).count() == 1
