@@ -115,11 +115,12 @@ def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import read_table
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, "doc_id", "text", {"fp": sketch(F.col("text"))})
+    # sketches are made after the rows are dealt out: a sketch is a third of what its text takes on disk
+    rows = with_next(docs, "doc_id", "text", {})
     n = F.length("text")
     cut_off = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut_off), F.substring(F.col("next_text"), F.lit(1), cut_off))
-    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
+    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("fp"), sketch(F.col("next_text")).alias("next_fp"))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", sketch(F.col("edited")).alias("efp"), "next_fp")
     return rows.select(
         "doc_id",
