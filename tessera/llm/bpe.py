@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WHITE_SPACE
+from tessera.llm.common import WHITE_SPACE, tidy
 
 #: Characters of text in a block. A longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
@@ -259,9 +259,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(source.schema["id"].dataType)
-    words = source.mapInArrow(words_of, "bucket bigint, block bigint, words binary")
-    words = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, "block bigint, bucket bigint, ids binary")
-    streams = source.mapInArrow(streams_of, f"block bigint, id array<{id_type}>, sizes array<bigint>, buckets binary, stream binary")
+    words = source.mapInArrow(tidy(words_of), "bucket bigint, block bigint, words binary")
+    words = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(encode_words), "block bigint, bucket bigint, ids binary")
+    streams = source.mapInArrow(tidy(streams_of), f"block bigint, id array<{id_type}>, sizes array<bigint>, buckets binary, stream binary")
     return words.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(rebuild, f"id {id_type}, ids array<int>")
 
 
@@ -276,7 +276,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "bytes"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, bytes binary")
+    return encoded.mapInArrow(tidy(run), f"{fields}, bytes binary")
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,28 @@ def settle(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def tidy(run):
+    """A function of batches that hands freed memory back to the system when its task ends.
+
+    Workers are kept between tasks, and what one task freed would else count against the next.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

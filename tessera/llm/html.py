@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 # Elements by their role.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,7 +244,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = ", ".join(f"`{text_col if i == at else f.name}` {f.dataType.simpleString()}" for i, f in enumerate(pages.schema.fields))
-    return pages.mapInArrow(run, fields)
+    return pages.mapInArrow(tidy(run), fields)
 
 
 def op2_main_text(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small
+from tessera.llm.common import cut, small, tidy
 
 SAMPLE_ROWS = 4_000
 DECLARED_TRUST = 0.8
@@ -103,7 +103,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, declared: Column, sample_
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("n", pa.int64()), ("at", pa.binary()), ("counts", pa.binary()), ("single", pa.binary())]))
 
     # of rows with the sampled hashes, at most as many (partition, language) rows as are sampled
-    got = [] if last is None else source.where(F.col("h") <= last).select("lang", "text").mapInArrow(count, "lang string, n bigint, at binary, counts binary, single binary").collect()
+    got = [] if last is None else source.where(F.col("h") <= last).select("lang", "text").mapInArrow(tidy(count), "lang string, n bigint, at binary, counts binary, single binary").collect()
     rows: dict[str, int] = {}
     counts: dict[str, np.ndarray] = {}
     single = np.zeros(256)
@@ -141,7 +141,7 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, ll, letters], [*batch.schema.names, "_ll", "_letters"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, _ll array<double>, _letters boolean")
+    return docs.mapInArrow(tidy(run), f"{fields}, _ll array<double>, _letters boolean")
 
 
 def _log_declared(declared: Column, languages: list[str]) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small
+from tessera.llm.common import cut, small, tidy
 
 LEAST_WORDS = 8
 #: Repeated digests (24 bytes each) up to which they are broadcast.
@@ -89,7 +89,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], ["id", "h1", "h2"])
 
-    places = source.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint")
+    places = source.mapInArrow(tidy(run), f"id {kind}, h1 bigint, h2 bigint")
     firsts = places.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nulls"))
     firsts = cut(firsts.where("first != last or (nulls and first is not null)").select("h1", "h2", "first"))
     again = places.join(small(firsts, BROADCAST_DIGESTS), ["h1", "h2"]).where("id is null or id != first")
@@ -122,7 +122,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(columns, [*names, "_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{fields}, _spans array<struct<start: bigint, end: bigint>>")
+    return joined.mapInArrow(tidy(run), f"{fields}, _spans array<struct<start: bigint, end: bigint>>")
 
 
 def removed(text: str, others: set[bytes]) -> list[list[int]]:

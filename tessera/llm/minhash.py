@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, small
+from tessera.llm.common import connected_components, cut, small, tidy
 
 HASHES, BANDS, ROWS = 128, 32, 4
 BATCH = 16
@@ -130,7 +130,7 @@ def _signatures(source: DataFrame, width: int) -> DataFrame:
                 ["id", "n_shingles", "h1", "h2", "sig"],
             )
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, sig binary")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, sig binary")
 
 
 def _band_key(sig: bytes, band: int) -> int:
@@ -146,7 +146,7 @@ def _bands(reps: DataFrame) -> DataFrame:
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids], ["key", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, f"key bigint, id {reps.schema['id'].dataType.simpleString()}")
+    return reps.select("id", "sig").mapInArrow(tidy(run), f"key bigint, id {reps.schema['id'].dataType.simpleString()}")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -165,7 +165,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, source: DataFrame, width: int,
                 yield batch.select(["a", "b"]).take(pa.array(keep))
 
     with_sigs = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-    left = cut(with_sigs.mapInArrow(prune, f"a {kind}, b {kind}").distinct())
+    left = cut(with_sigs.mapInArrow(tidy(prune), f"a {kind}, b {kind}").distinct())
     needed = cut(left.select(F.col("a").alias("id")).union(left.select("b")).distinct())
     texts = source.join(small(needed), "id")
 
@@ -187,7 +187,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, source: DataFrame, width: int,
             yield out.filter(pa.array(keep, pa.bool_()))
 
     joined = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.mapInArrow(confirm, f"a {kind}, b {kind}, sim double").dropDuplicates(["a", "b"])
+    return joined.mapInArrow(tidy(confirm), f"a {kind}, b {kind}, sim double").dropDuplicates(["a", "b"])
 
 
 def _groups(rows: DataFrame) -> DataFrame:

@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 WINDOW = 2048
 #: Partially filled windows that a task holds before it joins them.
 MAX_OPEN = 4096
 #: Distinct words, and distinct words with the marks around them, whose ids a worker keeps.
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 
 # Texts of these characters only (ASCII without control characters, Latin-1 and Latin Extended-A
 # letters that lower to one character) are split at white space before the tokenizer sees them:
@@ -203,7 +205,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], id
     def _rows(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
 
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names[1:]))
+    out = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names[1:]))
     power = F.col("sequence_tokens").bitwiseAND(F.col("sequence_tokens") - 1) == 0
     return out.withColumn("padded_tokens", F.when(power, F.col("sequence_tokens")).otherwise(F.lit(window)).cast("bigint"))
 

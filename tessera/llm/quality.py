@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 #: Labelled rows that a fit uses at most.
 MAX_LABELLED = 8_000
 BITS = 18
 MASK = (1 << BITS) - 1
 #: Distinct words whose hash and shape a worker keeps.
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 THRESHOLD = 0.7
 
 _PIECE = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+|\n")
@@ -209,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
     types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    found = texts.mapInArrow(grams, f"id {types['id']}, y {types['y']}, grams binary").limit(2 * max_labelled).collect()
+    found = texts.mapInArrow(tidy(grams), f"id {types['id']}, y {types['y']}, grams binary").limit(2 * max_labelled).collect()
     found = sorted(found, key=lambda r: (r["id"], bytes(r["grams"])))
     return fit([np.frombuffer(r["grams"], "<i4").astype(np.int64) for r in found], np.array([r["y"] for r in found], int))
 
@@ -226,7 +228,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, score_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{score_col}` double")
+    return docs.mapInArrow(tidy(run), f"{fields}, `{score_col}` double")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, small
+from tessera.llm.common import connected_components, cut, small, tidy
 
 SAMPLE = 4_096
 PREFIX, SHARED = 8, 2
@@ -52,7 +52,7 @@ def _prepared(source: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(data, pa.binary())], ["id", "label", "h1", "h2", "vec"])
 
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    return source.mapInArrow(run, f"id {types['id']}, label {types['label']}, h1 bigint, h2 bigint, vec binary")
+    return source.mapInArrow(tidy(run), f"id {types['id']}, label {types['label']}, h1 bigint, h2 bigint, vec binary")
 
 
 def unit(vectors: list[bytes]) -> np.ndarray:
@@ -110,7 +110,7 @@ def _postings(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             )
 
     types = {f.name: f.dataType.simpleString() for f in reps.schema.fields}
-    return reps.select("label", "id", "n", "vec").mapInArrow(run, f"label {types['label']}, size bigint, pivot int, prefix binary, id {types['id']}, n bigint, vec binary")
+    return reps.select("label", "id", "n", "vec").mapInArrow(tidy(run), f"label {types['label']}, size bigint, pivot int, prefix binary, id {types['id']}, n bigint, vec binary")
 
 
 def links_of_tile(x: np.ndarray, prefix: np.ndarray, pivot: int, first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
