@@ -1,10 +1,12 @@
 """Removal of repeated lines and sentences, by digests that are grouped over the whole corpus.
 
 A document is cut into lines, and lines of several sentences into sentences. A unit is normalised to
-its lower-case words. Units of at least ``LEAST_WORDS`` words are known by their own words; a shorter
-sentence by its words and those before it in the document, up to ``LEAST_WORDS`` in all, so that a
-common short sentence counts as repeated only where what leads to it is repeated too. A line that
-begins with a short sentence is also known as a whole. Shorter lines and openings are left alone.
+its lower-case words. Units of at least ``LEAST_WORDS`` words are known by their own words. A shorter
+line or sentence is known by two runs of ``LEAST_WORDS`` words of the document, the one that ends with
+it and the one that begins with it, and goes if either is repeated. So a common short line or sentence
+stays where what stands around it is new, and a repeated passage of short lines goes from its first
+line to its last. A line that begins with a short sentence is also known as a whole. Long words count
+once per ``WORD_CHARS`` characters, and two characters of a script without spaces count as a word.
 
 Per digest the smallest id keeps its (first) occurrence; all others go, with the white space after
 them. A document's own repetitions are found where it is read, so the shuffle holds a digest at most
@@ -33,39 +35,50 @@ LEAST_WORDS = 8
 #: Repeated digests (24 bytes each) up to which they are broadcast.
 BROADCAST_DIGESTS = 50_000
 
+#: Characters of a run without spaces that count as a word.
+WORD_CHARS = 16
+#: Scripts written without spaces (Thai to Myanmar, Khmer, kana, Han).
+_SPACELESS = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
 _LINE = re.compile(r"[^\n]+\n*|\n+")
-_END = re.compile(r"[.!?…][\"'”»)]*\s+")
-_WORD = re.compile(r"[^\W_]+")
+_END = re.compile(r"[.!?…][\"'”»)]*\s+|[。！？][\"'”’」』）]*\s*")
+_WORD = re.compile(rf"[^\W_]{{1,{WORD_CHARS}}}")
+_ANY_WORD = re.compile(rf"[^\W_{_SPACELESS}]{{1,{WORD_CHARS}}}|[{_SPACELESS}]{{1,2}}")
+_HAS_SPACELESS = re.compile(f"[{_SPACELESS}]")
 
 
 def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, str]]:
     """``(start, end, key)`` of each unit that can be removed; a line comes before its sentences."""
-    before: list[str] = []  # the last words of the document so far
+    find = (_ANY_WORD if not text.isascii() and _HAS_SPACELESS.search(text) else _WORD).findall
+    words: list[str] = []  # of the document
+    found = []  # (start, end, first word, word after the last, whether a line of several sentences)
     for line in _LINE.finditer(text):
         start, stop = line.span()
-        at = start
-        parts = []  # (start, end, words) of the sentences; the line's last one ends with the line
+        at, first = start, len(words)
+        parts = []  # the sentences; the line's last one ends with the line
         for m in _END.finditer(text, start, stop):
-            parts.append((at, m.end(), _WORD.findall(text[at : m.end()].lower())))
+            k = len(words)
+            words += find(text[at : m.end()].lower())
+            parts.append((at, m.end(), k, len(words), False))
             at = m.end()
         if at < stop:
-            parts.append((at, stop, _WORD.findall(text[at:stop].lower())))
-        if len(parts) == 1 or len(parts[0][2]) < least:
-            words = [w for p in parts for w in p[2]]
-            if len(words) >= least:
-                # a line of several sentences has a key that none of its sentences can have
-                yield start, stop, ("" if len(parts) == 1 else "\n") + " ".join(words)
-            if len(parts) == 1:
-                before = [*before, *words][-least:]
-                continue
-        for a, b, own in parts:
-            if len(own) >= least:
-                yield a, b, " ".join(own)
-                before = own[-least:]
-            elif own:
-                before = [*before, *own][-least:]
-                if len(before) == least:
-                    yield a, b, " ".join(before)
+            k = len(words)
+            words += find(text[at:stop].lower())
+            parts.append((at, stop, k, len(words), False))
+        if len(parts) > 1 and parts[0][3] - first < least <= len(words) - first:
+            found.append((start, stop, first, len(words), True))
+        found += parts
+    for start, stop, i, j, whole in found:
+        if whole:
+            # a line of several sentences has a key that none of its sentences can have
+            yield start, stop, "\n" + " ".join(words[i:j])
+        elif j - i >= least:
+            yield start, stop, " ".join(words[i:j])
+        elif j > i:
+            if j >= least:
+                yield start, stop, " ".join(words[j - least : j])
+            if i + least <= len(words):
+                yield start, stop, ">" + " ".join(words[i : i + least])
 
 
 def _digests(text: str) -> list[tuple[int, int, bytes]]:

@@ -273,6 +273,22 @@ def test_short_common_sentences_stay(spark):
     assert [r.text for r in lines.deduplicate(documents(spark, texts)).orderBy("doc_id").collect()] == texts
 
 
+def test_passage_of_short_lines(spark):
+    rng = random.Random(12)
+    fresh = iter(rng.sample([a + b + c for a in "bdfgklmnprst" for b in ("an", "el", "ir", "os", "um") for c in ("ba", "de", "fi", "go", "lu", "ry")], 360))
+    words = lambda n: " ".join(next(fresh) for _ in range(n))
+    verse = "\n".join(words(n) for n in (4, 3, 7, 1, 5, 6, 2, 7, 4, 3, 6, 7, 5)) + "\n"
+    han = "".join(chr(0x4E00 + k) for k in range(60)) + "。"
+    texts = [f"{words(12)}\n{verse}{words(12)}", f"{words(5)}\n{verse}{words(5)}", f"{words(3)}.\n{han}{words(9)}", f"{words(10)}\n{han}"]
+    texts += [f"{words(9)}\nthank you\n{words(9)}" for _ in range(3)]  # a common short line in new surroundings
+    texts += [words(9) + "\n" + "was eran\n" * 58 + words(9)]
+    got = [r.text for r in lines.deduplicate(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == texts[0] and got[1] == texts[1].replace(verse, "")
+    assert got[2] == texts[2] and got[3] == texts[3].replace(han, "")
+    assert got[4:7] == texts[4:7]
+    assert got[7] == texts[7].replace("was eran\n" * 58, "was eran\n")
+
+
 def test_passage_edges(spark):
     assert lines.deduplicate(documents(spark, [])).count() == 0
     t = "one two three four five six seven eight nine."
