@@ -4,8 +4,8 @@ For each language l the log posterior is
 
     log P(text | l) + log P(declared | l) + log P(suffix | l) + log P(l | host)
 
-* text: byte trigrams, hashed, with add-half smoothing. The tables are fitted on a bounded sample,
-  the ``SAMPLE_ROWS`` rows with a declared language whose id hashes smallest;
+* text: byte trigrams, hashed, with add-half smoothing. The tables are fitted on a bounded sample of
+  each language declared anywhere, the ``SAMPLE_ROWS`` rows of it whose id hashes smallest;
 * declared: the markup's or the table's language tag, right with probability ``DECLARED_TRUST``;
 * suffix: the last label of the address, by counts over all rows;
 * host: counts over all rows, grouped by host and drawn in to those of the host's suffix, which are
@@ -31,18 +31,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small, tidy
+from tessera.llm.common import BROADCAST_ROWS, cut, small, tidy
 
-SAMPLE_ROWS = 4_000
+#: Sampled rows of a language.
+SAMPLE_ROWS = 1_000
 DECLARED_TRUST = 0.8
 PRIOR_ROWS = 20.0
 REJECT_MARGIN = 0.5
 BITS = 16
-#: Languages with fewer sampled rows than this are not learned.
-LEAST_ROWS = 3
+#: Languages that a task counts before it hands their counts on.
+HELD_LANGUAGES = 32
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -85,38 +86,51 @@ def page_columns(pages: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, id_col: str, text_col: str, declared: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
     source = docs.select(F.xxhash64(F.col(id_col)).alias("h"), tag_language(declared).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    last = source.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    # ranks are limited before the shuffle, so that of a language at most sample_rows a task are sent
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = cut(source.select("lang", "h").withColumn("k", rank).where(F.col("k") <= sample_rows).groupBy("lang").agg(F.max("h").alias("last")))
+
+    kinds = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("counts", pa.binary()), ("single", pa.binary())])
+    ddl = "lang string, at binary, counts binary, single binary"
+
+    def packed(found: dict[str, list]) -> pa.RecordBatch:
+        rows = []
+        for lang, (tri, single) in found.items():
+            at = np.flatnonzero(tri)
+            rows.append({"lang": lang, "at": at.astype("<i4").tobytes(), "counts": tri[at].astype("<i8").tobytes(), "single": single.astype("<i8").tobytes()})
+        return pa.RecordBatch.from_pylist(rows, kinds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
         for batch in batches:
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if lang not in found and len(found) == HELD_LANGUAGES:
+                    yield packed(found)
+                    found = {}
                 t = t.as_py()
-                entry = found.setdefault(lang, [0, np.zeros(1 << BITS, np.int64), np.zeros(256, np.int64)])
-                entry[0] += 1
-                entry[1] += np.bincount(trigrams(t), minlength=1 << BITS)
-                entry[2] += np.bincount(np.frombuffer(t.lower().encode(), np.uint8), minlength=256)
-        rows = []
-        for lang, (n, tri, single) in found.items():
-            at = np.flatnonzero(tri)
-            rows.append({"lang": lang, "n": n, "at": at.astype("<i4").tobytes(), "counts": tri[at].astype("<i8").tobytes(), "single": single.astype("<i8").tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("n", pa.int64()), ("at", pa.binary()), ("counts", pa.binary()), ("single", pa.binary())]))
-
-    # of rows with the sampled hashes, at most as many (partition, language) rows as are sampled
-    got = [] if last is None else source.where(F.col("h") <= last).select("lang", "text").mapInArrow(tidy(count), "lang string, n bigint, at binary, counts binary, single binary").collect()
-    rows: dict[str, int] = {}
-    counts: dict[str, np.ndarray] = {}
+                entry = found.setdefault(lang, [np.zeros(1 << BITS, np.int64), np.zeros(256, np.int64)])
+                entry[0] += np.bincount(trigrams(t), minlength=1 << BITS)
+                entry[1] += np.bincount(np.frombuffer(t.lower().encode(), np.uint8), minlength=256)
+        yield packed(found)
+
+    def merged(table: pa.Table) -> pa.Table:
+        tri, single = np.zeros(1 << BITS, np.int64), np.zeros(256, np.int64)
+        for r in table.to_pylist():
+            tri[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["counts"], "<i8")
+            single += np.frombuffer(r["single"], "<i8")
+        return pa.Table.from_batches([packed({table.column("lang")[0].as_py(): [tri, single]})])
+
+    sampled = source.join(small(last), "lang").where("h <= last").select("lang", "text")
+    # a row per language comes to the driver
+    got = sorted(sampled.mapInArrow(tidy(count), ddl).groupBy("lang").applyInArrow(merged, ddl).collect(), key=lambda r: r["lang"])
+    languages = [r["lang"] for r in got]
     single = np.zeros(256)
-    for r in got:
-        rows[r["lang"]] = rows.get(r["lang"], 0) + r["n"]
-        tri = counts.setdefault(r["lang"], np.zeros(1 << BITS))
-        tri[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["counts"], "<i8")
-        single += np.frombuffer(r["single"], "<i8")
-    languages = sorted(x for x in rows if rows[x] >= LEAST_ROWS)
     table = np.zeros((1 << BITS, len(languages) + 1), np.float32)
-    for k, lang in enumerate(languages):
-        c = counts[lang] + 0.5 / 16
+    for k, r in enumerate(got):
+        c = np.full(1 << BITS, 0.5 / 16)
+        c[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["counts"], "<i8")
         table[:, k] = np.log(c / c.sum())
+        single += np.frombuffer(r["single"], "<i8")
     # background: bytes drawn one by one from a mixture of the sample's and even odds
     p = 0.5 * (single + 1) / (single.sum() + 256) + 0.5 / 256
     three = np.arange(256, dtype=np.uint32)
@@ -148,8 +162,8 @@ def _log_declared(declared: Column, languages: list[str]) -> Column:
     """Log likelihood of the declared tag per language, as an array; zeros if it says nothing."""
     n = len(languages)
     wrong = math.log((1 - DECLARED_TRUST) / max(1, n - 1))
-    known = declared.isin(languages) if languages else F.lit(False)
-    return F.array(*(F.when(known, F.when(declared == x, math.log(DECLARED_TRUST)).otherwise(wrong)).otherwise(0.0) for x in languages)).cast("array<double>")
+    # every declared language has a slot, so only a row without a tag says nothing
+    return F.transform(F.array(*map(F.lit, languages)), lambda x: F.when(declared.isNull(), 0.0).when(declared == x, math.log(DECLARED_TRUST)).otherwise(wrong))
 
 
 def _softmax(scores: Column) -> Column:
@@ -182,7 +196,7 @@ def host_priors(evidence: DataFrame, languages: list[str]) -> tuple[DataFrame, D
     drawn = lambda up: [((F.col(f"s{i}") + PRIOR_ROWS * up[i]) / (F.col("n") + PRIOR_ROWS)).alias(f"p{i}") for i in range(n)]
     suffixes = by_host.groupBy("_suffix").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(n)), F.sum("n").alias("n")).select("_suffix", *drawn([F.lit(x) for x in share]))
     suffixes = cut(suffixes)
-    up = small(suffixes.select("_suffix", *(F.col(f"p{i}").alias(f"u{i}") for i in range(n))))
+    up = small(suffixes.select("_suffix", *(F.col(f"p{i}").alias(f"u{i}") for i in range(n))), BROADCAST_ROWS // n)
     hosts = by_host.join(up, "_suffix").select("_host", *drawn([F.col(f"u{i}") for i in range(n)]))
     # P(suffix | l) up to a factor that is the same for all l: P(l | suffix) / P(l)
     suffix_ll = suffixes.select("_suffix", F.when(F.col("_suffix") != "", F.array(*(F.log(F.col(f"p{i}") / share[i]) for i in range(n)))).otherwise(F.array(*[F.lit(0.0)] * n)).alias("_suffix_ll"))
@@ -211,7 +225,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         priors = host_priors(evidence, names)
     prior, suffix_ll, share = priors
     neutral = F.array(*(F.lit(math.log(x)) for x in share))
-    scored = evidence.join(small(prior), "_host", "left").join(small(suffix_ll), "_suffix", "left")
+    limit = BROADCAST_ROWS // n  # a row holds a number per language
+    scored = evidence.join(small(prior, limit), "_host", "left").join(small(suffix_ll, limit), "_suffix", "left")
     # the host's prior already holds its suffix's counts; the suffix speaks where the host says nothing
     prior_ll = F.when(F.col("_host") != "", F.col("_prior"))
     total = _add(F.slice("_ll", 1, n), _log_declared(F.col("_declared"), names), F.coalesce(prior_ll, _add(neutral, F.col("_suffix_ll")), neutral))

@@ -46,6 +46,17 @@ def test_language_edges(spark, multilingual):
     assert langid.identify(documents(spark, [])).count() == 0
 
 
+def test_rare_languages_are_learned(spark, multilingual):
+    rng = random.Random(3)
+    greek = "και το να είναι από με για την που δεν".split()
+    rows = [(9000 + i, " ".join(rng.choices(greek, k=30)), "el" if i else None, None, "el") for i in range(3)]
+    rows.append((9010, "ja nej och att det som inte med för på den har", "sv", None, "sv"))
+    got = langid.identify(multilingual.unionByName(spark.createDataFrame(rows, multilingual.schema))).toPandas()
+    rare = got[got["doc_id"] >= 9000]
+    assert (rare["_language"] == rare["truth"]).all() and rare["_kept"].all()
+    assert (got["_language"] == got["truth"]).mean() > 0.97
+
+
 def test_page_columns(spark):
     df = spark.createDataFrame([("http://a.b.fr/x?y", '<HTML class="x" lang="fr-CA">'), (None, None)], "url string, html string")
     got = langid.page_columns(df).withColumn("s", langid.suffix_of(langid.F.col("host"))).collect()
