@@ -3,7 +3,11 @@
 Every block of text has a root-to-leaf path of block elements (inline elements do not count). Per
 path of a page, text length, length of text in links, punctuation and occurrences are summed. The
 ratios text per occurrence and punctuation per occurrence are fused into one value per path and
-multiplied by what the names on the path say (menus, adverts and the like weigh nothing). The values
+multiplied by what the names on the path say (menus, adverts and the like weigh nothing). A name is
+overruled where its element holds the article: a ``main``, the page's first ``article``, or more than
+half of the page's text outside links; if the name is of a discussion, or is a whole class name and not a
+part of one, that half has to come with the page's first ``h1``. If names leave nothing at all, none
+counts. The values
 are smoothed over the page's blocks in order, averaged per path again and thresholded at a share of
 the page's text-weighted mean. The paths above the threshold name the content node: the deepest
 element that holds all of them, weighted by text. All blocks below it are kept but those whose
@@ -54,6 +58,9 @@ _MARK = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 _WORD = re.compile(r"[a-z0-9]+")
+#: What the names of an element say, worst last: nothing, part of a name, a whole name or one of a discussion, hidden or a menu by its tag.
+PLAIN, PART, NAMED, NEVER = range(4)
+DISCUSSION = set("comment comments commentlist disqus respond reply replies".split())
 
 
 class Block:
@@ -67,23 +74,26 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _weighs(tag: str, attributes: str) -> bool:
-    """Whether an element can hold the article, by its name and attributes."""
+def _verdict(tag: str, attributes: str) -> int:
+    """What an element's name and attributes say against its holding the article."""
     if tag in SKIP:
-        return False
+        return NEVER
+    out = PLAIN
     if not attributes or not attributes.strip():
-        return True
+        return out
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return False
-        if name in ("class", "id", "role") and tag not in ("html", "body") and BOILERPLATE.intersection(_WORD.findall(value)):
-            return False
-    return True
+            return NEVER
+        if name in ("class", "id", "role") and tag not in ("html", "body"):
+            words = BOILERPLATE.intersection(_WORD.findall(value))
+            if words:
+                out = max(out, NAMED if words & DISCUSSION or words.intersection(value.split()) else PART)
+    return out
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order. A path holds (tag, number of the element, weighs)."""
+    """Blocks of text in page order. A path holds (tag, number of the element, verdict)."""
     out: list[Block] = []
     stack: list[tuple] = []
     links = 0
@@ -140,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if m[1] else 1))
-            elif not m[1] and tag == "span" and not _weighs(tag, m[3]):
+            elif not m[1] and tag == "span" and _verdict(tag, m[3]) >= NAMED:
                 stop = re.compile(r"</span\s*>", re.I).search(page, at)
                 at = stop.end() if stop else at
             continue
@@ -161,18 +171,48 @@ def blocks_of(page: str) -> list[Block]:
                 del stack[k:]
         if not m[3].rstrip().endswith("/"):
             count += 1
-            stack.append((tag, count, _weighs(tag, m[3])))
+            stack.append((tag, count, _verdict(tag, m[3])))
     close()
     return out
 
 
+def _weights(blocks: list[Block], sizes: np.ndarray) -> np.ndarray:
+    """1 for each block that can be of the article, else 0."""
+    able = np.array([all(e[2] < NEVER for e in b.path) for b in blocks], float)
+    held: dict[int, list] = {}  # of named elements: verdict, text outside links, whether a main or the article or the title is inside
+    article = title = None
+    total = 0.0
+    for b, ok, size in zip(blocks, able, sizes):
+        if not ok:
+            continue
+        own = max(0.0, size - b.link)
+        total += own
+        inside: list[list] = []
+        for tag, number, verdict in b.path:
+            if tag == "article" and article is None and verdict == PLAIN:
+                article = number
+            if tag == "h1" and title is None:
+                title = number
+            for entry in inside:
+                entry[2] |= tag == "main" or number == article
+                entry[3] |= number == title
+            if verdict:
+                inside.append(held.setdefault(number, [verdict, 0.0, False, False]))
+        for entry in inside:
+            entry[1] += own
+    holds = {n for n, (verdict, own, main, h1) in held.items() if main or own > total / 2 and (h1 or verdict == PART)}
+    out = np.array([all(e[2] == PLAIN or e[1] in holds for e in b.path) for b in blocks], float) * able
+    return out if out.any() else able
+
+
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The blocks of the article."""
     if not blocks:
         return []
     texts = [b.text for b in blocks]
-    names = [tuple(e[0] for e in b.path) + ((),) * (not all(e[2] for e in b.path)) for b in blocks]
-    weighs = np.array([all(e[2] for e in b.path) for b in blocks], float)
+    sizes = np.array([len(t) for t in texts], float)
+    weighs = _weights(blocks, sizes)
+    names = [tuple(e[0] for e in b.path) + ((),) * (not w) for b, w in zip(blocks, weighs)]
     paths: dict[tuple, np.ndarray] = {}
     for b, t, name in zip(blocks, texts, names):
         paths[name] = paths.get(name, 0) + np.array([len(t), min(b.link, len(t)), len(_PUNCTUATION.findall(t)), 1], float)
@@ -184,7 +224,6 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
         return []
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     smooth = np.convolve(raw, kernel)[2:-2] / np.convolve(np.ones(len(raw)), kernel)[2:-2]
-    sizes = np.array([len(t) for t in texts], float)
     total: dict[tuple, list[float]] = {}
     for name, s, r in zip(names, smooth, raw):
         entry = total.setdefault(name, [0.0, 0])

@@ -86,6 +86,14 @@ def test_main_text(page):
     assert html.main_text(AROUND % page) == "\n".join(WANT)
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "comments-open", "tags-page", "content share", "widget"])
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<main>%s</main>", "<div><h1>The title</h1>%s</div>"])
+def test_wrappers_named_like_boilerplate(name, inner):
+    page = f'<div class="{name}">{inner % "".join(f"<p>{b} {b}</p>" for b in BODY)}<div class="social-share">Share, now.</div></div>'
+    got = html.main_text(AROUND % page).split("\n")
+    assert got[-len(WANT) :] == [f"{w} {w}" for w in WANT] and len(got) <= len(WANT) + 1
+
+
 def test_heading_of_the_article_stays():
     assert html.main_text(AROUND % ("<article><h1>The title</h1>" + "".join(f"<p>{b}</p>" for b in BODY) + "</article>")).startswith("The title\nA first")
 
