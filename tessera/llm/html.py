@@ -1,21 +1,31 @@
 """Main text of pages by tag-path ratios.
 
-Every block of text has a root-to-leaf path of block elements (inline elements do not count). Per
-path of a page, text length, length of text in links, punctuation and occurrences are summed. The
-ratios text per occurrence and punctuation per occurrence are fused into one value per path and
-multiplied by what the names on the path say (menus, adverts and the like weigh nothing). A name is
-overruled where its element holds the article: a ``main``, the page's first ``article``, or more than
-half of the page's text outside links; if the name is of a discussion, or is a whole class name and not a
-part of one, that half has to come with the page's first ``h1``. If names leave nothing at all, none
-counts. The values
-are smoothed over the page's blocks in order, averaged per path again and thresholded at a share of
-the page's text-weighted mean. The paths above the threshold name the content node: the deepest
-element that holds all of them, weighted by text. All blocks below it are kept but those whose
-path weighs nothing and, without an element for the article, those before and after what was chosen.
-
-Defined cases: null or empty html, and pages without text, give an empty text; repeated rows give
-a row each; null ids and addresses are kept; broken markup is read as far as it goes (unclosed
-elements end with their parents, a lone ``<`` is text). A page is read whole.
+Every block of text has a root-to-leaf path of block elements with their class names (inline elements
+do not count). The operator chooses paths in these steps:
+
+1. Per path of a page, text outside links, punctuation and occurrences are summed. The ratios text
+   per occurrence and punctuation per occurrence are fused into one value of the path.
+2. What the names of a block's elements say (``NAMES``) is its weight. A name weighs, it doesn't
+   decide: all blocks below a misnamed wrapper weigh the same against each other. Class names count
+   for nothing on what holds the page's first ``h1`` or, but for names of a discussion, its first
+   ``article`` or ``main``.
+3. The content node is the deepest element that holds ``NODE_SHARE`` of the page's text, weighted by
+   the square of value and weight. Below it a list or a table counts as one unit of its path, so that short items and cells
+   aren't judged one by one.
+4. Values are smoothed over the page's blocks in order, by weight (across the border of the content
+   node by ``ACROSS`` only), averaged per path again and multiplied by the block's weight and the share
+   of text outside links of its unit or path.
+5. Paths stay whose fused value reaches ``THRESHOLD`` times the page's mean, weighted by text; paths
+   below the content node need ``1 / INSIDE`` of that.
+
+Hidden elements and the contents of scripts, styles and controls are not text. Time and memory are
+linear in the length of the page: elements point to their parents, and a search for an end that isn't
+there is made once.
+
+Defined cases: null or empty html, and pages without text or with text in links only, give an empty
+text; repeated rows give a row each; null ids and addresses are kept; broken markup is read as far as
+it goes (unclosed elements end with their parents, a lone ``<`` is text, an unclosed comment reaches
+to the end). A page is read whole.
 """
 
 from __future__ import annotations
@@ -35,240 +45,312 @@ from tessera.llm.common import tidy
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style template textarea title noscript iframe svg math object select button canvas audio video".split())
-SKIP = set("nav header footer aside form menu dialog head fieldset".split())
+LISTS = set("ul ol dl table".split())
 CLOSES = {  # elements that an opening tag ends if they are still open, up to the element named last
-    "li": ({"li", "p"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd", "p"}, {"dl"}),
-    "dd": ({"dt", "dd", "p"}, {"dl"}),
-    "tr": ({"tr", "td", "th", "p"}, {"table"}),
-    "td": ({"td", "th", "p"}, {"tr", "table"}),
-    "th": ({"td", "th", "p"}, {"tr", "table"}),
+    "li": (("li", "p"), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd", "p"), ("dl",)),
+    "dd": (("dt", "dd", "p"), ("dl",)),
+    "tr": (("tr", "td", "th", "p"), ("table",)),
+    "td": (("td", "th", "p"), ("tr", "table")),
+    "th": (("td", "th", "p"), ("tr", "table")),
 }
-#: Words in class, id and role that mark what is not the article.
+ANY_CLOSES = (("p",), ("td", "th", "li", "dd", "blockquote", "article", "section", "div", "table", "button"))
+#: What an element's own name weighs.
+NAMES = {"nav": 0.02, "header": 0.02, "footer": 0.02, "aside": 0.02, "form": 0.02, "menu": 0.02, "dialog": 0.02, "fieldset": 0.02}
+#: Words in class, id and role that are seldom said of an article.
 BOILERPLATE = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar aside footer header masthead topbar comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget "
-    "widgets toolbar pagination pager search form copyright disclaimer skip tags tagcloud complementary contentinfo hidden".split()
+    "widgets toolbar pagination pager search form copyright disclaimer skip tags tagcloud complementary contentinfo".split()
 )
-#: Share of the page's mean value that a path needs.
-THRESHOLD = 0.35
-
-_MARK = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Those of a discussion, which may hold articles of its own.
+DISCUSSION = set("comment comments commentlist disqus respond reply replies".split())
+#: What such words weigh as a whole class name and as a part of one; the header of an article; least of all.
+WHOLE_NAME, PART_NAME, OWN_HEADER, LEAST = 0.02, 0.3, 0.5, 1e-6
+#: Text and punctuation per occurrence at which a ratio is half of its most.
+HALF_TEXT, HALF_MARKS = 150.0, 5.0
+NODE_SHARE, ACROSS = 0.6, 0.1
+#: Share of the page's mean that a path needs, and how much less one below the content node needs.
+THRESHOLD, INSIDE = 0.95, 13.0
+
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 _WORD = re.compile(r"[a-z0-9]+")
-#: What the names of an element say, worst last: nothing, part of a name, a whole name or one of a discussion, hidden or a menu by its tag.
-PLAIN, PART, NAMED, NEVER = range(4)
-DISCUSSION = set("comment comments commentlist disqus respond reply replies".split())
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_KERNEL = np.exp(-0.5 * np.arange(3) ** 2)
 
 
-class Block:
-    __slots__ = ("link", "parts", "path")
+class Page:
+    """The blocks of text of a page, and its elements by number in page order; element 0 is the page.
 
-    def __init__(self, path: tuple):
-        self.path, self.parts, self.link = path, [], 0
+    ``texts`` and ``links`` (characters in links) are by block, as is ``at``, the element of a block.
+    ``parent``, ``tag``, ``path`` (a number for each distinct path) and ``weight`` are by element.
+    """
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    def __init__(self):
+        self.texts: list[str] = []
+        self.links: list[int] = []
+        self.at: list[int] = []
+        self.parent, self.tag, self.path, self.weight = [0], [""], [0], [1.0]
+        self.paths: dict[tuple, int] = {}
 
 
-def _verdict(tag: str, attributes: str) -> int:
-    """What an element's name and attributes say against its holding the article."""
-    if tag in SKIP:
-        return NEVER
-    out = PLAIN
-    if not attributes or not attributes.strip():
-        return out
+def _said(attributes: str) -> tuple[float, str, bool]:
+    """What an element's attributes weigh (0 if it is hidden), its class names, whether they say discussion."""
+    weight, classes, discussion = 1.0, "", False
+    if not attributes or attributes.isspace():
+        return weight, classes, discussion
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return NEVER
-        if name in ("class", "id", "role") and tag not in ("html", "body"):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDES.search(value):
+            return 0.0, classes, discussion
+        if name in ("class", "id", "role"):
+            own = value.split()
+            if name == "class":
+                classes = " ".join(sorted(own))
             words = BOILERPLATE.intersection(_WORD.findall(value))
             if words:
-                out = max(out, NAMED if words & DISCUSSION or words.intersection(value.split()) else PART)
-    return out
-
-
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order. A path holds (tag, number of the element, verdict)."""
-    out: list[Block] = []
-    stack: list[tuple] = []
-    links = 0
-    count = 0
-    block: Block | None = None
-    at = 0
-    end = len(page)
+                weight = min(weight, WHOLE_NAME if any(words.issuperset(w) for w in map(_WORD.findall, own) if w) else PART_NAME)
+                discussion |= not words.isdisjoint(DISCUSSION)
+    return weight, classes, discussion
+
+
+def read(page: str) -> Page:
+    """The blocks and elements of a page, in one pass."""
+    out = Page()
+    stack = [0]
+    places: dict[str, list[int]] = {}  # by tag: where it stands on the stack
+    within = [0]  # by stack place: articles and mains open
+    tags, said, talks = [1.0], [1.0], [False]  # by element: what its name and its attributes weigh, whether they say discussion
+    landmarks: dict[str, int] = {}  # the first h1, and the first article or main
+    parts: list[str] = []  # of the open block
+    linked = 0  # its characters in links
+    anchor = 0  # stack size at which a link was opened; 0 outside links
+    absent: set[str] = set()  # what the rest of the page lacks
+    at, end = 0, len(page)
 
     def text(s: str) -> None:
-        nonlocal block
-        if block is None:
-            if not s.strip():
-                return
-            block = Block(tuple(stack))
+        nonlocal linked
+        if not parts and s.isspace():
+            return
         s = _html.unescape(s) if "&" in s else s
-        block.parts.append(s)
-        if links:
-            block.link += len(s)
+        parts.append(s)
+        if anchor:
+            linked += len(s)
 
     def close() -> None:
-        nonlocal block, links
-        if block is not None:
-            if block.text:
-                out.append(block)
-            block = None
-        links = 0
+        nonlocal linked
+        if parts:
+            joined = " ".join("".join(parts).split())
+            if joined and tags[stack[-1]]:
+                out.texts.append(joined)
+                out.links.append(linked)
+                out.at.append(stack[-1])
+            parts.clear()
+        linked = 0
+
+    def pop_to(size: int) -> None:
+        nonlocal anchor
+        while len(stack) > size:
+            places[out.tag[stack.pop()]].pop()
+            within.pop()
+        if anchor > size:
+            anchor = 0
+
+    def find(what: str) -> int:
+        """The next place of ``what``, or -1; a failed search isn't made again."""
+        if what in absent:
+            return -1
+        k = page.find(what, at)
+        if k < 0:
+            absent.add(what)
+        return k
+
+    closers: dict[str, re.Pattern] = {}
+
+    def skip_past(tag: str) -> bool:
+        nonlocal at
+        key = "</" + tag
+        if key in absent:
+            return False
+        if tag not in closers:
+            closers[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I)
+        m = closers[tag].search(page, at)
+        if m is None:
+            absent.add(key)
+            return False
+        at = m.end()
+        return True
 
     while at < end:
-        m = _MARK.search(page, at)
-        if m is None:
+        k = find("<")
+        if k < 0:
             text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+        if k > at:
+            text(page[at:k])
+            at = k
+        head = page[k + 1 : k + 2]
+        if head in ("!", "?"):
+            if page.startswith("<!--", k):
+                at = k + 4
+                stop = find("-->")
+                at = end if stop < 0 else stop + 3
+            elif page.startswith("<![CDATA[", k):
+                at = k + 9
+                stop = find("]]>")
+                stop = end if stop < 0 else stop
+                text(page[at:stop])
+                at = stop + 3
+            else:
+                stop = find(">")
+                at = end if stop < 0 else stop + 1
+            continue
+        m = _TAG.match(page, k + 1) if (head.isalpha() or head == "/") and find(">") >= 0 else None
+        if m is None:
+            text("<")
+            at = k + 1
             continue
-        tag = tag.lower()
+        at = m.end()
+        closing, tag, attributes = m[1], m[2].lower(), m[3]
         if tag in RAW:
-            if not m[1] and not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                if stop:
-                    at = stop.end()
-                elif tag in ("script", "style", "textarea", "title"):
-                    at = end
+            if not closing and not attributes.rstrip().endswith("/") and not skip_past(tag) and tag in ("script", "style", "textarea", "title"):
+                at = end
             continue
         if tag == "br":
-            if block is not None:
-                block.parts.append(" ")
+            if parts:
+                parts.append(" ")
             continue
         if tag in INLINE:
             if tag == "a":
-                links = max(0, links + (-1 if m[1] else 1))
-            elif not m[1] and tag == "span" and _verdict(tag, m[3]) >= NAMED:
-                stop = re.compile(r"</span\s*>", re.I).search(page, at)
-                at = stop.end() if stop else at
+                anchor = len(stack) if not closing and "href" in attributes.lower() else 0
+            elif not closing and tag == "span" and attributes and _said(attributes)[0] <= WHOLE_NAME:
+                skip_past("span")
             continue
         close()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            if places.get(tag):
+                pop_to(places[tag][-1])
             continue
         if tag in VOID:
             continue
-        ends, until = CLOSES.get(tag, ({"p"}, {"td", "th", "li", "dd", "blockquote", "article", "section", "div", "table", "button"}))
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in until:
-                break
-            if stack[k][0] in ends:
-                del stack[k:]
-        if not m[3].rstrip().endswith("/"):
-            count += 1
-            stack.append((tag, count, _verdict(tag, m[3])))
+        ends, until = CLOSES.get(tag, ANY_CLOSES)
+        barrier = max((places[t][-1] for t in until if places.get(t)), default=-1)
+        for t in ends:
+            while places.get(t) and places[t][-1] > barrier:
+                pop_to(places[t][-1])
+        if attributes.rstrip().endswith("/"):
+            continue
+        up = stack[-1]
+        weight, classes, talk = _said(attributes)
+        number = len(out.parent)
+        out.parent.append(up)
+        out.tag.append(tag)
+        out.path.append(out.paths.setdefault((out.path[up], tag, classes), len(out.paths) + 1))
+        hidden = not weight or not tags[up] or tag == "head"
+        tags.append(0.0 if hidden else OWN_HEADER if tag == "header" and within[-1] else NAMES.get(tag, 1.0))
+        said.append(weight)
+        talks.append(talk)
+        if not hidden and tag in ("h1", "article", "main"):
+            landmarks.setdefault("h1" if tag == "h1" else "article", number)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(number)
+        within.append(within[-1] + (tag in ("article", "main")))
     close()
+    for kind, e in landmarks.items():
+        while e:
+            if kind == "h1" or not talks[e]:
+                said[e] = 1.0
+            e = out.parent[e]
+    for e in range(1, len(out.parent)):
+        up = out.weight[out.parent[e]]
+        out.weight.append(max(LEAST, up * tags[e] * said[e]) if tags[e] else 0.0)
     return out
 
 
-def _weights(blocks: list[Block], sizes: np.ndarray) -> np.ndarray:
-    """1 for each block that can be of the article, else 0."""
-    able = np.array([all(e[2] < NEVER for e in b.path) for b in blocks], float)
-    held: dict[int, list] = {}  # of named elements: verdict, text outside links, whether a main or the article or the title is inside
-    article = title = None
-    total = 0.0
-    for b, ok, size in zip(blocks, able, sizes):
-        if not ok:
-            continue
-        own = max(0.0, size - b.link)
-        total += own
-        inside: list[list] = []
-        for tag, number, verdict in b.path:
-            if tag == "article" and article is None and verdict == PLAIN:
-                article = number
-            if tag == "h1" and title is None:
-                title = number
-            for entry in inside:
-                entry[2] |= tag == "main" or number == article
-                entry[3] |= number == title
-            if verdict:
-                inside.append(held.setdefault(number, [verdict, 0.0, False, False]))
-        for entry in inside:
-            entry[1] += own
-    holds = {n for n, (verdict, own, main, h1) in held.items() if main or own > total / 2 and (h1 or verdict == PART)}
-    out = np.array([all(e[2] == PLAIN or e[1] in holds for e in b.path) for b in blocks], float) * able
-    return out if out.any() else able
-
-
-def main_blocks(blocks: list[Block]) -> list[Block]:
-    """The blocks of the article."""
-    if not blocks:
-        return []
-    texts = [b.text for b in blocks]
-    sizes = np.array([len(t) for t in texts], float)
-    weighs = _weights(blocks, sizes)
-    names = [tuple(e[0] for e in b.path) + ((),) * (not w) for b, w in zip(blocks, weighs)]
-    paths: dict[tuple, np.ndarray] = {}
-    for b, t, name in zip(blocks, texts, names):
-        paths[name] = paths.get(name, 0) + np.array([len(t), min(b.link, len(t)), len(_PUNCTUATION.findall(t)), 1], float)
-    value = {}
-    for name, (size, link, marks, n) in paths.items():
-        value[name] = np.log1p((size - link) / n) * (1 + np.log1p(marks / n))
-    raw = np.array([value[name] for name in names]) * weighs
-    if not raw.any():
-        return []
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    smooth = np.convolve(raw, kernel)[2:-2] / np.convolve(np.ones(len(raw)), kernel)[2:-2]
-    total: dict[tuple, list[float]] = {}
-    for name, s, r in zip(names, smooth, raw):
-        entry = total.setdefault(name, [0.0, 0])
-        entry[0] += (s + r) / 2
-        entry[1] += 1
-    fused = np.array([total[name][0] / total[name][1] for name in names]) * weighs
-    mean = (fused * sizes * weighs).sum() / max(1.0, (sizes * weighs).sum())
-    chosen = np.flatnonzero((fused >= THRESHOLD * mean) & (weighs > 0))
-    if not len(chosen):
-        return []
-    # the content node: go down from the root while one child holds nearly all of the chosen text
-    weight = sizes[chosen]
-    node: tuple = ()
-    depth = 0
-    while True:
-        shares: dict[int, float] = {}
-        for i, w in zip(chosen, weight):
-            if len(blocks[i].path) > depth + 1:  # its last element is the block's own
-                e = blocks[i].path[depth][1]
-                shares[e] = shares.get(e, 0.0) + w
-        if not shares:
-            break
-        best = max(shares, key=shares.get)
-        tag = next(b.path[depth][0] for b in blocks if len(b.path) > depth and b.path[depth][1] == best)
-        need = 0.5 if tag in ("article", "main") else 0.9
-        if shares[best] < need * weight.sum():
-            break
-        inside = [i for i in chosen if len(blocks[i].path) > depth and blocks[i].path[depth][1] == best]
-        chosen, weight, depth = np.array(inside), sizes[inside], depth + 1
-        node = blocks[inside[0]].path[:depth]
-        if tag == "article" and not any(e[0] in ("article", "main") for b in blocks for e in b.path[depth:]):
-            break
-    ids = tuple(e[1] for e in node)
-    kept = [i for i, b in enumerate(blocks) if weighs[i] and tuple(e[1] for e in b.path[: len(ids)]) == ids]
-    if not any(e[0] in ("article", "main") for e in node):
-        # without an element for the article it goes from the first to the last chosen block, with
-        # headings before it; what is mostly links in between isn't part of it
-        heading = {"h1", "h2", "h3", "h4", "h5", "h6"}
-        first, last, good = chosen[0], chosen[-1], set(chosen.tolist())
-        kept = [i for i in kept if i in good or first < i < last and blocks[i].link <= sizes[i] / 2 or i < first and blocks[i].path and blocks[i].path[-1][0] in heading]
-    return [blocks[i] for i in kept]
+def ratio(text: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The value of text and punctuation per occurrence, from 0 to 2."""
+    return text / (text + HALF_TEXT) * (1 + marks / (marks + HALF_MARKS))
+
+
+def content_node(page: Page, mass: np.ndarray) -> int:
+    """The deepest element that holds ``NODE_SHARE`` of the mass of blocks in elements below it."""
+    held = [0.0] * len(page.parent)
+    for e, m in zip(page.at, mass.tolist()):
+        if e:
+            held[page.parent[e]] += m
+    best = [0] * len(page.parent)
+    for e in range(len(held) - 1, 0, -1):  # children come after their parents
+        up = page.parent[e]
+        held[up] += held[e]
+        if held[e] > held[best[up]] or not best[up]:
+            best[up] = e
+    node, need = 0, NODE_SHARE * float(mass.sum())
+    while best[node] and held[best[node]] >= need:
+        node = best[node]
+    return node
+
+
+def main_blocks(page: Page) -> np.ndarray:
+    """Whether each block is of the article."""
+    n = len(page.texts)
+    if not n:
+        return np.zeros(0, bool)
+    size = np.array([len(t) for t in page.texts], float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t in page.texts], float)
+    weight = np.array([page.weight[e] for e in page.at])
+    link = np.minimum(size, page.links)
+    link[[page.tag[e] == "h1" for e in page.at]] = 0  # a title often links to its own page
+    own = size - link
+
+    def by_path(paths: np.ndarray, text: np.ndarray, marks: np.ndarray, count: np.ndarray) -> np.ndarray:
+        total = lambda x: np.bincount(paths, x)[paths]
+        return ratio(total(text) / total(count), total(marks) / total(count))
+
+    _, paths = np.unique([page.path[e] for e in page.at], return_inverse=True)
+    value = by_path(paths, own, marks, np.ones(n))
+
+    node = content_node(page, np.square(value * weight) * own)
+    below = [e == node for e in range(len(page.parent))]
+    unit = [0] * len(page.parent)  # the outermost list or table below the node
+    for e in range(node + 1, len(page.parent)):
+        up = page.parent[e]
+        below[e] = below[up]
+        unit[e] = unit[up] or (e if below[e] and page.tag[e] in LISTS else 0)
+    inside = np.array([below[e] for e in page.at])
+    units = np.array([unit[e] for e in page.at])
+    listed = np.flatnonzero(units)
+    share_path = paths.copy()
+    if len(listed):
+        once = np.zeros(len(listed))
+        once[np.unique(units[listed], return_index=True)[1]] = 1  # a unit occurs once
+        _, kinds = np.unique([page.path[u] for u in units[listed]], return_inverse=True)
+        value[listed] = np.maximum(value[listed], by_path(kinds, own[listed], marks[listed], once))
+        share_path[listed] = paths.max() + 1 + kinds
+
+    total, shares = value * weight, weight.copy()
+    for d in (1, 2):
+        w = np.where(inside[d:] == inside[:-d], 1.0, ACROSS) * _KERNEL[d]
+        total[d:] += w * (value * weight)[:-d]
+        shares[d:] += w * weight[:-d]
+        total[:-d] += w * (value * weight)[d:]
+        shares[:-d] += w * weight[d:]
+    _, groups = np.unique(share_path * 2 + inside, return_inverse=True)
+    mean = lambda x: (np.bincount(groups, x) / np.bincount(groups))[groups]
+    fused = mean(total / np.maximum(shares, 1e-300)) * weight
+    _, groups = np.unique(np.where(units > 0, share_path.max() + units, share_path), return_inverse=True)  # each unit has a share of its own
+    fused *= mean(own) / np.maximum(mean(size), 1)
+    most = (fused * fused * size).sum() / max((fused * size).sum(), 1e-300)
+    return (fused >= THRESHOLD * most / np.where(inside, INSIDE, 1.0)) & (fused > 0)
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(b.text for b in main_blocks(blocks_of(page))) if page else ""
+    if not page:
+        return ""
+    read_page = read(page)
+    return "\n".join(t for t, keep in zip(read_page.texts, main_blocks(read_page)) if keep)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

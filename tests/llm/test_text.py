@@ -1,7 +1,9 @@
 """Language ID, main text, licences, quality."""
 
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -108,6 +110,149 @@ def test_text_without_markup():
     assert len(html.main_text("<article>" + "<p>word, word. " * 20_000 + "</article>")) > 100_000
 
 
+LIST = "<ul><li>Milk</li><li>Two eggs</li><li>Flour, and <a href=x>sugar</a></li></ul>"
+TABLE = "<table><tr><th>Year<th>Tons<tr><td>1990<td>12<tr><td>2000<td>45</table>"
+LINKS = "<ul><li><a href=a>Another story</a></li><li><a href=b>One more, too</a></li><li><a href=c>The last</a></li></ul>"
+
+
+def test_lists_and_tables_of_the_article_stay():
+    page = f"<article><h1><a href=/>The title</a></h1><p>{BODY[0]} {BODY[1]}</p>{LIST}<p>{BODY[3]} {BODY[3]}</p>{TABLE}<p>{BODY[0]}</p>{LINKS}<div class=comments><p>{BODY[0]} I agree.</p></div></article>"
+    got = html.main_text(AROUND % page).split("\n")
+    assert got == ["The title", f"{WANT[0]} {WANT[1]}", "Milk", "Two eggs", "Flour, and sugar", f"{WANT[3]} {WANT[3]}", "Year", "Tons", "1990", "12", "2000", "45", WANT[0]]
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = AROUND % ("<article>" + "".join(f"<p>{b}</p>" for b in BODY) + "</article>")
+    monkeypatch.setattr(html, "THRESHOLD", 0.0)
+    assert "Home" not in html.main_text(page) and "cookies" in html.main_text(page) and "us, 2020" in html.main_text(page)
+    monkeypatch.setattr(html, "THRESHOLD", 1e9)
+    assert html.main_text(page) == ""
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_names_are_not_needed(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    plain = [re.sub(r"<(/?)(nav|header|footer|aside|article|main)\b", r"<\1div", re.sub(r'\s(class|id|role)="[^"]*"', "", p)) for p in pages]
+    assert sum(html.main_text(a) == html.main_text(b) for a, b in zip(pages, plain)) >= 0.96 * len(pages)
+
+
+LONG = ["<div>x", '<a "', "<svg>", '<a ="', "<li><div>", "<p><b>", "</section>", "<!--", "<![CDATA[", "<span class=ad>", "<td>x", "<table><tr><td>x", '<a href="x">', "<", "&", "<p>word, ", "<b>", "<ul><li>x"]
+
+
+@pytest.mark.parametrize("piece", LONG)
+def test_time_is_linear(piece):
+    start = time.process_time()
+    html.main_text("<div>" + piece * 100_000)
+    assert time.process_time() - start < 5
+
+
+# the method again, on the tree that a page was written from, by plain sums over all blocks
+
+
+def tree(rng, depth=0):
+    """(tag, class, children); a child is a tree or a list of (text, whether in a link)."""
+    if depth and rng.random() < 0.45 + 0.1 * depth:
+        bits = [(" ".join(rng.choices(["word", "some, text", "end.", "&", "a"], k=rng.choice([1, 4, 30]))), rng.random() < 0.2) for _ in range(rng.randint(1, 2))]
+        return (rng.choice(["p", "h1", "h2", "pre", "div"]), rng.choice(["", "", "ad", "x share-box", "big lead", "social-share"]), [bits])
+    if rng.random() < 0.2:
+        return ("ul", "", [("li", "", [[(rng.choice(["one", "two, or", "three. four five six"]), rng.random() < 0.3)]]) for _ in range(rng.randint(1, 5))])
+    return (rng.choice(["div", "section", "article", "nav", "footer", "div"]), rng.choice(["", "", "comments", "content-sidebar", "post"]), [tree(rng, depth + 1) for _ in range(rng.randint(1, 5))])
+
+
+def written(t):
+    if isinstance(t, list):
+        return " ".join(f"<a href=x>{b.replace('&', '&amp;')}</a>" if link else b.replace("&", "&amp;") for b, link in t)
+    tag, name, children = t
+    return f"<{tag}{f' class={chr(34)}{name}{chr(34)}' if name else ''}>{''.join(map(written, children))}</{tag}>"
+
+
+def slow_main_text(root):
+    elements, blocks = [], []  # (tree, ancestors with itself), (element number, text, in links)
+
+    def walk(t, up):
+        number = len(elements)
+        elements.append((t, [*up, number]))
+        for c in t[2]:
+            if isinstance(c, list):
+                blocks.append((number, " ".join(b for b, _ in c), 0 if t[0] == "h1" else sum(len(b) for b, link in c if link)))
+            else:
+                walk(c, [*up, number])
+
+    walk(root, [])
+    first = lambda tags: next((e for e, (t, _) in enumerate(elements) if t[0] in tags), None)
+    h1, article = first(["h1"]), first(["article", "main"])
+    below = lambda e, over: over in elements[e][1]
+
+    def weight(e):
+        w = 1.0
+        for x in elements[e][1]:
+            tag, name, _ = elements[x][0]
+            words = set(re.findall("[a-z0-9]+", name)) & html.BOILERPLATE
+            own = 1.0 if not words else html.WHOLE_NAME if any(set(x.split("-")) <= words for x in name.split()) else html.PART_NAME
+            if h1 is not None and below(h1, x) or article is not None and below(article, x) and not words & html.DISCUSSION:
+                own = 1.0
+            w = max(html.LEAST, w * own * html.NAMES.get(tag, 1.0))
+        return w
+
+    path = lambda e: tuple((elements[x][0][0], " ".join(sorted(elements[x][0][1].split()))) for x in elements[e][1])
+    n = len(blocks)
+    W = [weight(e) for e, _, _ in blocks]
+    own = [len(t) - link for _, t, link in blocks]
+    marks = [sum(c in ".,;:!?" for c in t) for _, t, _ in blocks]
+
+    def value(same, count):
+        t, m = sum(own[j] for j in same) / count, sum(marks[j] for j in same) / count
+        return t / (t + html.HALF_TEXT) * (1 + m / (m + html.HALF_MARKS))
+
+    V = []
+    for e, _, _ in blocks:
+        same = [j for j in range(n) if path(blocks[j][0]) == path(e)]
+        V.append(value(same, len(same)))
+    mass = [(V[j] * W[j]) ** 2 * own[j] for j in range(n)]
+    held = lambda x: sum(mass[j] for j in range(n) if x in elements[blocks[j][0]][1][:-1])
+    node = -1
+    while True:
+        children = [x for x, (_, line) in enumerate(elements) if (line[-2] if len(line) > 1 else -1) == node]
+        top = max(children, key=lambda x: (held(x), -x), default=None)
+        if top is None or held(top) < html.NODE_SHARE * sum(mass) - 1e-9:
+            break
+        node = top
+    inside = [node < 0 or below(e, node) for e, _, _ in blocks]
+    unit = []
+    for e, _, _ in blocks:
+        line = elements[e][1]
+        line = line if node < 0 else line[line.index(node) + 1 :] if node in line else []
+        unit.append(next((x for x in line if elements[x][0][0] in html.LISTS), None))
+    for j in range(n):
+        if unit[j] is not None:
+            same = [i for i in range(n) if unit[i] is not None and path(unit[i]) == path(unit[j])]
+            V[j] = max(V[j], value(same, len({unit[i] for i in same})))
+    smooth = []
+    for j in range(n):
+        k = {i: np.exp(-0.5 * (i - j) ** 2) * (1 if inside[i] == inside[j] else html.ACROSS) * W[i] for i in range(max(0, j - 2), min(n, j + 3))}
+        smooth.append(sum(w * V[i] for i, w in k.items()) / sum(k.values()))
+    fused = []
+    for j in range(n):
+        kind = lambda i: (inside[i], unit[i] is None, path(blocks[i][0] if unit[i] is None else unit[i]))
+        same = [i for i in range(n) if kind(i) == kind(j)]
+        linked = [i for i in range(n) if unit[i] == unit[j] and (unit[j] is not None or path(blocks[i][0]) == path(blocks[j][0]))]
+        fused.append(np.mean([smooth[i] for i in same]) * sum(own[i] for i in linked) / sum(len(blocks[i][1]) for i in linked) * W[j])
+    most = sum(f * f * len(b[1]) for f, b in zip(fused, blocks)) / max(sum(f * len(b[1]) for f, b in zip(fused, blocks)), 1e-300)
+    need = [html.THRESHOLD * most / (html.INSIDE if x else 1) for x in inside]
+    return "\n".join(b[1] for f, b, least in zip(fused, blocks, need) if f > 0 and f >= least)
+
+
+def test_main_text_against_plain_sums():
+    rng = random.Random(5)
+    some = 0
+    for _ in range(250):
+        t = ("section", "", [tree(rng) for _ in range(rng.randint(1, 4))])
+        want = slow_main_text(t)
+        assert html.main_text(written(t)) == want, written(t)
+        some += 0 < len(want)
+    assert some > 200
+
+
 def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, "u", AROUND % "<article><p>Some text, here.</p></article>"), (1, "u", None), (None, None, "")], "page_id int, url string, html string")
     assert sorted((r.page_id or 0, r.text) for r in html.extract(df).collect()) == [(0, ""), (1, ""), (1, "Some text, here.")]
