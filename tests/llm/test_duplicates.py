@@ -1,6 +1,7 @@
 """Near-duplicates, vectors, fingerprints, repeated passages: against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -136,9 +137,10 @@ def brute_vectors(rows, threshold=0.98):
     return links, components(links, edges), edges
 
 
-@pytest.mark.parametrize("tile", [512, 7])
-def test_near_vectors(spark, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "split"), [(512, 4096), (7, 4096), (16, 40)])
+def test_near_vectors(spark, tile, split, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "SPLIT", split)
     rows = vector_rows(1)
     odd = [None, [], [0.0] * 32, [float("nan")] * 32, [None] * 32, [float("inf")] * 32, [1.0, 2.0], [1.0, 2.0], [1e200] * 32]
     rows += [(1000 + i, v, 1) for i, v in enumerate(odd)] + [(2000, rows[0][1], None)]
@@ -152,6 +154,36 @@ def test_near_vectors(spark, tile, monkeypatch):
     assert {r.id: r.component_id for r in got} == parts
 
 
+def test_ids_that_repeat_over_different_vectors(spark):
+    """Rows are vectors of their own; brute force over row numbers."""
+    rng = np.random.default_rng(8)
+    rows = [(0 if y is None else i, v, y) for i, v, y in vector_rows(3, n=200)]
+    rows = [(int(rng.integers(0, 60)) if rng.random() < 0.9 else None, v, y if rng.random() < 0.95 else None) for _, v, y in rows]
+    rows += rows[:30]
+    numbered = [(k, v if i is not None else None, y) for k, (i, v, y) in enumerate(rows)]
+    links, parts, edges = brute_vectors(numbered)
+    least = {}
+    for k, c in parts.items():
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, 10**9), rows[k][0])
+    want = sorted((rows[k][0] is None, rows[k][0] or 0, links[k], least.get(parts[k]) if rows[k][0] is not None else None) for k in range(len(rows)))
+    assert len(edges) > 60
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted((r.id is None, r.id or 0, r.n_links, r.component_id) for r in got) == want
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    four = [(1, a, 0), (1, b, 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0)]
+    got = vectors.near_vectors(spark.createDataFrame(four, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted((r.id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_recall_on_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    _, _, edges = brute_vectors([tuple(r) for r in df.select("vec_id", "embedding", "label").collect()])
+    found = sum(r.n_links for r in vectors.near_vectors(df).collect()) / 2
+    assert 0.9 * len(edges) <= found <= len(edges)
+
+
 def test_recall_on_clusters(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 64))
