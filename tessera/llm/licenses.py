@@ -2,15 +2,21 @@
 shunting-yard parser evaluates the expressions that follow the tags.
 
 A text is lower-cased (A-Z only) and cut into words; phrases match whole consecutive words. Where
-the words of an identifier tag stand, the expression after each tag in the text is parsed:
-``with`` binds tighter than ``and``, ``and`` tighter than ``or``; the longest valid beginning of a
-line counts. Its labels join those of the phrases.
+the words of an identifier tag stand, the automaton of tags gives the offsets of all tags, and what
+follows each, up to the next tag or the end of the line, is parsed: ``with`` binds tighter than
+``and``, ``and`` tighter than ``or``. Its longest valid beginning counts. An operand has to be a known
+identifier or a ``LicenseRef-``; punctuation of a sentence or a comment ends the expression. Parsing
+takes time linear in the text.
+
+A licence has one label, whatever phrase or identifier names it: that of the identifier without
+``-only``, ``-or-later`` and ``+``, with 2 for 2.0, and without version for Creative Commons. A label
+of a family (``gpl``) goes where one of its members (``gpl-2``) was found; labels of base phrases stay.
 
 The score is the evidence that the text states a licence: 1 - product(1 - weight) over its distinct
 labels, where a label's weight is that of the strongest phrase or tag that gave it.
 
 Defined cases: a null or empty text has no words, no labels and score 0; repeated rows are scanned
-each; null ids are kept; other columns are ignored. A text is scanned whole, in one pass.
+each; null ids are kept; other columns are ignored. A text is scanned whole.
 """
 
 from __future__ import annotations
@@ -53,14 +59,42 @@ NOTICES = {
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.8, 0.95
 TAG = "spdx license identifier"
+TAG_TEXT = "spdx-license-identifier"
+
+# Identifiers of licences that ask for no more than a notice, and of others, with versions where there are several.
+PERMISSIVE = (
+    "mit mit-0 isc 0bsd bsd-1-clause bsd-2-clause bsd-3-clause bsd-4-clause unlicense wtfpl zlib libpng x11 ncsa postgresql curl openssl ruby vim tcl w3c hpnd ftl ijg "
+    "blueoak-1.0.0 bsl-1.0 cc0-1.0 ofl-1.1 pddl-1.0 upl-1.0 artistic-2.0 unicode-3.0 mulanpsl-2.0 php-3.01 cc-by"
+)
+PERMISSIVE_VERSIONS = {"apache": "1.0 1.1 2.0", "python": "2.0", "psf": "2.0", "afl": "2.0 2.1 3.0", "zpl": "2.0 2.1", "cc-by": "1.0 2.0 2.5 3.0 4.0"}
+OTHER = "ms-pl ms-rl sleepycat sspl-1.0 busl-1.1 cc-by-sa cc-by-nc cc-by-nd cc-by-nc-sa cc-by-nc-nd"
+OTHER_VERSIONS = {"gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "agpl": "1.0 3.0", "gfdl": "1.1 1.2 1.3", "mpl": "1.0 1.1 2.0", "epl": "1.0 2.0", "eupl": "1.0 1.1 1.2", "cddl": "1.0 1.1", "cecill": "1.0 1.1 2.0 2.1", "osl": "2.0 2.1 3.0", "cpl": "1.0"} | dict.fromkeys(
+    ("cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"), "1.0 2.0 2.5 3.0 4.0"
+)
+#: Labels of families, which members make needless.
+FAMILIES = {"apache", "gpl", "lgpl", "agpl", "mpl", "epl", "bsd", "cc-by"}
+
+
+def _label(identifier: str) -> str:
+    if identifier.startswith("cc"):
+        return re.sub(r"-[\d.]+$", "", identifier)
+    return re.sub(r"(-\d+)\.0$", r"\1", identifier)
+
+
+def _identifiers() -> dict[str, tuple[str, bool]]:
+    """Label, and whether a notice is all that is asked for, of each identifier."""
+    out = {}
+    for free, names, versions in ((True, PERMISSIVE, PERMISSIVE_VERSIONS), (False, OTHER, OTHER_VERSIONS)):
+        for name in [*names.split(), *(f"{n}-{v}" for n, vs in versions.items() for v in vs.split())]:
+            for end in ("", "+", "-only", "-or-later"):
+                out[name + end] = (_label(name), free)
+    return out
 
-#: Identifiers whose label differs from themselves.
-ALIASES = {"apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-4.0": "cc-by", "cc0-1.0": "cc0"}
-#: Identifiers (by their beginnings) that ask for more than a notice.
-COPYLEFT = ("gpl-", "lgpl-", "agpl-", "mpl-", "epl-", "cc-by-sa", "cc-by-nc", "cc-by-nd")
 
-_TAG_AT = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
-_TOKEN = re.compile(r"[a-z0-9][a-z0-9.+:-]*|[()]")
+IDENTIFIERS = _identifiers()
+
+_COLON = re.compile(r"[ \t]*:[ \t]*")
+_TOKEN = re.compile(r"[a-z0-9][a-z0-9.+:-]*|[()]|\S")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 # A-Z to lower case, what separates words to a space, the bytes of other characters as they are.
@@ -83,53 +117,87 @@ def _automaton():
     return a
 
 
+@functools.lru_cache(1)
+def _tag_automaton():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    a.add_word(TAG_TEXT, len(TAG_TEXT))
+    a.make_automaton()
+    return a
+
+
+def licence(identifier: str) -> tuple[str, bool] | None:
+    """Label of a known identifier or a reference, and whether a notice is all that it asks for."""
+    found = IDENTIFIERS.get(identifier)
+    if found is None and ("licenseref-" in identifier and not identifier.endswith("licenseref-")):
+        return identifier, False
+    return found
+
+
 def to_postfix(line: str) -> list[str]:
     """The longest valid beginning of ``line`` as an expression in postfix order."""
-    best: list[str] = []
     out: list[str] = []
     stack: list[str] = []
-    operand = True  # an operand may come next
+    length, rest = 0, []  # of the longest valid beginning: how much of out, and the operators that follow
+    last = "operator"  # or "licence", "exception", "group", "with"
     depth = 0
-    for tok in _TOKEN.findall(line):
-        if operand and tok == "(":
+    for m in _TOKEN.finditer(line):
+        tok = m[0].rstrip(".:-") if m[0][0].isalnum() else m[0]
+        ended = tok != m[0]  # punctuation after a word
+        if last == "operator" and tok == "(":
             stack.append(tok)
             depth += 1
             continue
-        if operand and tok not in _PRECEDENCE and tok != ")":
+        if last == "operator" and tok not in _PRECEDENCE and licence(tok):
             out.append(tok)
-            operand = False
-        elif not operand and tok == ")" and depth:
+            last = "licence"
+        elif last == "with" and "exception" in tok:
+            out.append(tok)
+            last = "exception"
+        elif last in ("licence", "exception", "group") and tok == ")" and depth:
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
             depth -= 1
-        elif not operand and tok in _PRECEDENCE:
+            last = "group"
+        elif (last in ("licence", "exception", "group") and tok in ("and", "or") or last == "licence" and tok == "with") and not ended:
             while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[tok]:
                 out.append(stack.pop())
             stack.append(tok)
-            operand = True
+            last = "with" if tok == "with" else "operator"
             continue
         else:
             break
-        if not depth:
-            best = out + stack[::-1]
-    return best
+        if not depth:  # no bracket is open, so the stack holds three operators at most
+            length, rest = len(out), stack[::-1]
+        if ended:
+            break
+    return out[:length] + rest
 
 
 def evaluate(postfix: list[str]) -> tuple[frozenset[str], bool]:
     """``(labels, permissive)``: all licences named; whether some choice asks for a notice only."""
-    stack: list[tuple[frozenset[str], bool, str]] = []
+    labels: set[str] = set()
+    stack: list[tuple[str | None, bool]] = []
+
+    def taken() -> bool:
+        label, free = stack.pop()
+        if label is not None:
+            labels.add(label)
+        return free
+
     for tok in postfix:
-        if tok not in _PRECEDENCE:
-            label = ALIASES.get(tok, tok)
-            stack.append((frozenset([label]), not label.startswith(COPYLEFT), label))
-            continue
-        right, left = stack.pop(), stack.pop()
         if tok == "with":  # the exception belongs to the licence before it
-            stack.append((frozenset([*left[0], f"{left[2]}-with-{right[2]}"]), left[1], left[2]))
+            (exception, _), (label, free) = stack.pop(), stack.pop()
+            stack.append((f"{label}-with-{exception}", free))
+        elif tok in _PRECEDENCE:
+            right, left = taken(), taken()
+            stack.append((None, left and right if tok == "and" else left or right))
         else:
-            stack.append((left[0] | right[0], left[1] and right[1] if tok == "and" else left[1] or right[1], left[2]))
-    return (stack[-1][0], stack[-1][1]) if stack else (frozenset(), False)
+            stack.append(licence(tok) or (tok, False))
+    free = taken() if stack else False
+    return frozenset(labels), free
 
 
 def scan_text(text: str) -> tuple:
@@ -157,11 +225,24 @@ def scan_text(text: str) -> tuple:
             weights[label] = max(weights.get(label, 0), w)
     permissive = None
     if tagged:
-        for m in _TAG_AT.finditer(text.encode().translate(_LOWER).decode()):
-            labels, free = evaluate(to_postfix(m[1]))
+        low = text.encode().translate(_LOWER).decode()
+        ends = [e + 1 for e, n in _tag_automaton().iter(low) if e < n or not (low[e - n].isalnum() or low[e - n] >= "\x80")]
+        for end, after in zip(ends, [*(e - len(TAG_TEXT) for e in ends[1:]), len(low)]):  # up to the next tag
+            m = _COLON.match(low, end, after)
+            if m is None:
+                continue
+            stop = min((k for k in (low.find(c, m.end(), after) for c in "\r\n") if k >= 0), default=after)
+            labels, free = evaluate(to_postfix(low[m.end() : stop]))
             weights.update(dict.fromkeys(labels, TAG_WEIGHT))
             if labels:
                 permissive = free if permissive is None else permissive and free
+    needless = [f for f in FAMILIES.intersection(weights) if f not in base and any(x.startswith(f + "-") for x in weights)]
+    for f in needless:
+        del weights[f]
+    for x in [x for x in weights if "-with-" in x]:  # the same licence, named without its exception
+        plain = x.partition("-with-")[0]
+        if plain not in base:
+            weights.pop(plain, None)
     miss = 1.0
     for label in sorted(weights):
         miss *= 1 - weights[label]

@@ -291,13 +291,22 @@ def test_base_places(spark):
     ("line", "labels", "permissive"),
     [
         ("mit", {"mit"}, True),
-        ("mit or gpl-3.0-only", {"mit", "gpl-3.0-only"}, True),
-        ("mit and gpl-3.0-only", {"mit", "gpl-3.0-only"}, False),
+        ("mit or gpl-3.0-only", {"mit", "gpl-3"}, True),
+        ("mit and gpl-3.0-only", {"mit", "gpl-3"}, False),
         ("(mit or apache-2.0) and bsd-3-clause */", {"mit", "apache-2", "bsd-3-clause"}, True),
-        ("mit and gpl-2.0-only or isc", {"mit", "gpl-2.0-only", "isc"}, True),
-        ("gpl-2.0-only with classpath-exception-2.0", {"gpl-2.0-only", "gpl-2.0-only-with-classpath-exception-2.0"}, False),
+        ("mit and gpl-2.0-only or isc", {"mit", "gpl-2", "isc"}, True),
+        ("gpl-2.0-only with classpath-exception-2.0", {"gpl-2-with-classpath-exception-2.0"}, False),
+        ("gpl-2.0+ with text", {"gpl-2"}, False),
+        ("(mit) with classpath-exception-2.0", {"mit"}, True),
         ("mit or", {"mit"}, True),
+        ("mit. and isc", {"mit"}, True),
+        ("mit-->", {"mit"}, True),
+        ("mit and text", {"mit"}, True),
+        ("cc-by-nc-4.0", {"cc-by-nc"}, False),
+        ("licenseref-proprietary", {"licenseref-proprietary"}, False),
+        ("lgpl-2.1-or-later", {"lgpl-2.1"}, False),
         ("(mit", set(), False),
+        ("text", set(), False),
         ("", set(), False),
         ("and mit", set(), False),
     ],
@@ -309,6 +318,108 @@ def test_expressions(line, labels, permissive):
 def test_tags():
     r = licenses.scan_text("code\n// SPDX-License-Identifier: (MIT OR Apache-2.0)\nmore words")
     assert r[5] == "apache-2,mit" and r[7] is True and r[1] == 0
+    r = licenses.scan_text("SPDX-License-Identifier: MIT. and text SPDX-License-Identifier: GPL-2.0-only OR BSD-3-Clause")
+    assert r[5] == "bsd-3-clause,gpl-2,mit"
+    r = licenses.scan_text("GNU General Public License version 2, SPDX-License-Identifier: GPL-2.0-or-later\nthe GNU General Public License")
+    assert r[5] == "gpl-2"
+
+
+def slow_labels(line):
+    """Of the longest beginning (by tokens) that a recursive parser reads to its end."""
+    tokens, stop = [], False
+    for raw in re.findall(r"[a-z0-9][a-z0-9.+:-]*|[()]|\S", line):
+        t = re.sub("[.:-]+$", "", raw) if raw[0].isalnum() else raw
+        if stop:
+            break
+        tokens.append(t)
+        stop = t != raw
+
+    def parse(tokens):
+        at = 0
+
+        def peek():
+            return tokens[at] if at < len(tokens) else None
+
+        def part():
+            nonlocal at
+            t = peek()
+            if t == "(":
+                at += 1
+                out = choice()
+                if peek() != ")":
+                    raise ValueError
+                at += 1
+                return out
+            known = licenses.licence(t) if t and t not in ("and", "or", "with", ")") else None
+            if not known:
+                raise ValueError
+            at += 1
+            if peek() == "with":
+                at += 1
+                if not peek() or "exception" not in peek():
+                    raise ValueError
+                at += 1
+                return {f"{known[0]}-with-{tokens[at - 1]}"}, known[1]
+            return {known[0]}, known[1]
+
+        def both():
+            nonlocal at
+            labels, free = part()
+            while peek() == "and":
+                at += 1
+                more, other = part()
+                labels, free = labels | more, free and other
+            return labels, free
+
+        def choice():
+            nonlocal at
+            labels, free = both()
+            while peek() == "or":
+                at += 1
+                more, other = both()
+                labels, free = labels | more, free or other
+            return labels, free
+
+        out = choice()
+        if at < len(tokens):
+            raise ValueError
+        return out
+
+    for n in range(len(tokens), 0, -1):
+        try:
+            return parse(tokens[:n])
+        except ValueError:
+            pass
+    return set(), False
+
+
+def test_expressions_against_a_recursive_parser():
+    rng = random.Random(9)
+    bits = ["mit", "isc", "gpl-2.0-only", "apache-2.0", "and", "or", "with", "classpath-exception-2.0", "(", ")", "text", "mit.", "isc-->", "licenseref-x", "and.", "*/"]
+    for _ in range(4000):
+        line = " ".join(rng.choices(bits, k=rng.randint(1, 9)))
+        labels, free = slow_labels(line)
+        assert licenses.evaluate(licenses.to_postfix(line)) == (frozenset(labels), free), line
+
+
+def test_several_tags_a_line_against_splitting():
+    rng = random.Random(10)
+    bits = ["MIT", "ISC", "GPL-2.0-only", "and", "OR", "(", ")", "text", "MIT.", "words", "zlib-->"]
+    for _ in range(300):
+        text = "".join(rng.choice(["SPDX-License-Identifier:", "SPDX-License-Identifier : ", "SPDX-License-Identifier", "\n", " "]) + " ".join(rng.choices(bits, k=rng.randint(0, 5))) for _ in range(6))
+        want = set()
+        for piece in re.split("(?<![a-z0-9])spdx-license-identifier", text.lower())[1:]:
+            m = re.match(r"[ \t]*:[ \t]*([^\r\n]*)", piece)
+            if m:
+                want |= slow_labels(m[1])[0]
+        assert set(filter(None, licenses.scan_text(text)[5].split(","))) == want, text
+
+
+@pytest.mark.parametrize("line", [" or ".join(["mit"] * 200_000), " or ".join(f"licenseref-{i}" for i in range(200_000)), "(" * 200_000 + "mit" + ")" * 200_000, "mit and " * 200_000, "spdx-license-identifier: mit " * 40_000, "spdx-license-identifier:\n" * 40_000])
+def test_long_expressions(line):
+    start = time.process_time()
+    assert licenses.scan_text("SPDX-License-Identifier: " + line)[5] or "\n" in line
+    assert time.process_time() - start < 2
 
 
 # --- quality ----------------------------------------------------------------------------------
