@@ -3,18 +3,22 @@
 A document longer than a window is cut into whole windows and a rest. Each rest goes to the fill
 level that makes the sum of the squared numbers of windows per level smallest; the numbers stand in
 an array over the levels, so a placement costs one pass over that array however many windows are
-open. What is still partially filled at the end of a task's documents, or beyond ``MAX_OPEN``
-windows, is joined into full windows (documents may be cut freely), and the last remainder of under
-a window becomes windows whose lengths are powers of two, which need no padding.
-
-Tasks pack on their own: a sequence id holds the task's partition, so ids are unique, and a task
-that is run again gives the same rows. Defined cases: a null or empty text has only the end id;
-repeated rows are packed each; null ids are kept; other columns are ignored.
+open. At the end of a task's documents the fuller ones of the windows that are still open keep what
+the rule placed in them, and the emptiest ones are taken apart and cut to fill their gaps (documents
+may be cut freely); the last remainder of under a window becomes windows whose lengths are powers of
+two. So nothing is padded.
+
+A task holds the rests in its open windows, two bytes an id where the vocabulary allows it; their number
+is that of the task's documents at most. Tasks pack on their own: a sequence id holds the task's
+partition, so ids are unique, and a task that is run again gives the same rows. Defined cases: a null or
+empty text has only the end id; repeated rows are packed each; null ids are kept; other columns are
+ignored. The tokenizer's own special strings in a text get their special ids, as in the library's call.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,8 +33,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import tidy
 
 WINDOW = 2048
-#: Partially filled windows that a task holds before it joins them.
-MAX_OPEN = 4096
 #: Distinct words, and distinct words with the marks around them, whose ids a worker keeps.
 MAX_WORDS = 400_000
 
@@ -47,13 +49,26 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
+
 
+@functools.lru_cache(1)
+def _fast_pattern(path: str) -> regex.Pattern | None:
+    """The file's pattern of pre-tokens, if the file has the steps that ``WordEncoder`` takes by itself."""
+    with open(path, "rb") as f:
+        file = json.load(f)
+    steps = [x.get("type") for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    parts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in parts] != ["Split", "ByteLevel"] or file.get("post_processor"):
+        return None
+    spaces, split, as_bytes = file["normalizer"]["normalizers"][1], parts[0], parts[1]
+    pattern = split["pattern"].get("Regex")
+    same = spaces["pattern"] == {"Regex": r"\s+"} and spaces["content"] == " " and (split["behavior"], split["invert"]) == ("Removed", True) and not as_bytes["add_prefix_space"] and not as_bytes["use_regex"]
+    return regex.compile(pattern) if same and pattern == WORDS else None
 
-#: The pre-tokens of the vocabulary file, as its own pattern has them.
-_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+#: Fixed value: the pattern of pre-tokens that never cross white space.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
@@ -66,9 +81,12 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int):
         self.tok, self.end = _tokenizer(path), end_id.to_bytes(4, "little")
         self.words, self.pieces = _stores(path)
+        self.pattern = _fast_pattern(path)
+        special = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.I) if special else None
 
     def __call__(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text):
+        if self.pattern is None or not _PLAIN.fullmatch(text) or self.special and self.special.search(text):
             return np.frombuffer(np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end, "<u4")
         words = text.lower().split()
         known = self.words
@@ -81,7 +99,7 @@ class WordEncoder:
                 self.pieces.clear()
             ids, model = self.pieces, self.tok.model
             for w in new:
-                parts = _PRE.findall(w)
+                parts = self.pattern.findall(w)
                 for p in parts:
                     if p not in ids:
                         ids[p] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS))])
@@ -108,16 +126,16 @@ def _stores(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
 class Packer:
     """Places pieces online; ``rows`` are (document, start, length, crc, total, sequence, offset, filled)."""
 
-    def __init__(self, window: int = WINDOW, first_sequence: int = 0, max_open: int = MAX_OPEN):
-        self.window, self.sequence, self.max_open = window, first_sequence, max_open
+    def __init__(self, window: int = WINDOW, first_sequence: int = 0):
+        self.window, self.sequence = window, first_sequence
         self.levels = np.zeros(window + 1, np.int64)  # partially filled windows by fill
         self.open: dict[int, list[list]] = {}  # fill: windows, each a list of pieces
-        self.n_open = 0
+        self.placed = self.moved = 0  # rests that the rule placed, and those of them cut up at the end
 
     def _close(self, pieces: list) -> Iterator[tuple]:
         at, filled = 0, sum(len(p[2]) for p in pieces)
         for doc, start, ids, total in pieces:
-            yield doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.sequence, at, filled
+            yield doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.sequence, at, filled
             at += len(ids)
         self.sequence += 1
 
@@ -141,45 +159,63 @@ class Packer:
             yield from self._close([(doc, start, ids[start : start + w], total)])
         if whole == total:
             return
-        piece = (doc, whole, ids[whole:], total)
+        rest = ids[whole:]
+        rest = rest.astype("<u2") if rest.max() < 1 << 16 else rest.copy()  # held without the document's other ids
         size = total - whole
         level = self.level_for(size)
+        pieces: list = []
         if level:
             pieces = self.open[level].pop()
             self.levels[level] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
+        pieces.append((doc, whole, rest, total))
+        self.placed += 1
         if level + size == w:
             yield from self._close(pieces)
         else:
             self.open.setdefault(level + size, []).append(pieces)
             self.levels[level + size] += 1
-            self.n_open += 1
-            if self.n_open > self.max_open:
-                yield from self.flush()
 
     def flush(self) -> Iterator[tuple]:
-        """Join all partially filled windows into full ones and powers of two."""
-        left = [p for fill in sorted(self.open, reverse=True) for pieces in self.open[fill] for p in pieces]
-        self.open, self.n_open = {}, 0
+        """Fill the open windows, fullest first, with what the emptiest ones hold."""
+        windows = [(fill, pieces) for fill in sorted(self.open, reverse=True) for pieces in self.open[fill]]
+        self.open = {}
         self.levels[:] = 0
-        rest = sum(len(p[2]) for p in left)
-        room = self._room(rest)
-        pieces: list = []
-        for doc, start, ids, total in left:
+        loose: list = []  # pieces of windows taken apart, the next one last
+        first, last = 0, len(windows)
+        while first < last:
+            fill, pieces = windows[first]
+            first += 1
+            room = self.window - fill
+            while room and (loose or first < last):
+                if not loose:
+                    last -= 1
+                    loose = windows[last][1][::-1]
+                    self.moved += len(loose)
+                doc, start, ids, total = loose.pop()
+                pieces.append((doc, start, ids[:room], total))
+                if len(ids) > room:
+                    loose.append((doc, start + room, ids[room:], total))
+                room -= min(room, len(ids))
+            if room:  # nothing is left to fill it
+                loose = pieces[::-1]
+                self.moved += len(loose)
+            else:
+                yield from self._close(pieces)
+        yield from self._powers(loose[::-1])
+
+    def _powers(self, pieces: list) -> Iterator[tuple]:
+        """Windows whose lengths are powers of two, for under a window of ids."""
+        rest = sum(len(p[2]) for p in pieces)
+        room = 1 << (rest.bit_length() - 1) if rest else 0
+        own: list = []
+        for doc, start, ids, total in pieces:
             while len(ids):
-                take = ids[:room]
-                pieces.append((doc, start, take, total))
-                start, ids, room = start + len(take), ids[len(take) :], room - len(take)
-                rest -= len(take)
+                own.append((doc, start, ids[:room], total))
+                taken = min(room, len(ids))
+                start, ids, room, rest = start + taken, ids[taken:], room - taken, rest - taken
                 if not room:
-                    yield from self._close(pieces)
-                    pieces, room = [], self._room(rest)
-
-    def _room(self, rest: int) -> int:
-        return self.window if rest >= self.window else 1 << (rest.bit_length() - 1) if rest else 0
+                    yield from self._close(own)
+                    own, room = [], 1 << (rest.bit_length() - 1) if rest else 0
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -10,6 +10,7 @@ import regex
 from helpers import ODD, documents, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing
 
@@ -49,8 +50,8 @@ def test_encode_nothing(spark):
 # --- packing ----------------------------------------------------------------------------------
 
 
-def library(texts):
-    tok = packing._tokenizer(P.path("word_bpe_49k.json"))
+def library(texts, name="word_bpe_49k.json"):
+    tok = Tokenizer.from_file(P.path(name))
     return [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts]
 
 
@@ -61,6 +62,16 @@ def test_word_encoder(text):
     assert e(text).tolist() == library([text])[0].tolist()
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "a<|ENDOFTEXT|>b", "<|startoftext|>", "é <|endoftext|>", "<|endoftext", "don't I'LL 's"])
+def test_special_strings(text):
+    assert packing.WordEncoder(P.path("word_bpe_49k.json"), 1)(text).tolist() == library([text])[0].tolist()
+
+
+def test_other_vocabulary():
+    text = "Some  Words, 12 and\nmore é <|endoftext|>."
+    assert packing.WordEncoder(P.path("byte_bpe_50k.json"), 1)(text).tolist() == library([text], "byte_bpe_50k.json")[0].tolist()
+
+
 def check(rows, ids):
     """Every id in one piece, no gaps in a sequence, lengths and sums right."""
     by_doc, by_sequence = {}, {}
@@ -119,11 +130,31 @@ def test_packing_leaves_little_open():
     assert left < 0.02 * sum(r[2] for r in full)
 
 
-@pytest.mark.parametrize("most", [1, 5])
-def test_bounded_open_windows(most):
+def test_most_rests_stay_where_the_rule_put_them():
     rng = np.random.default_rng(5)
-    p = packing.Packer(max_open=most)
-    rows = [r for i in range(200) for r in p.add(i, np.zeros(int(rng.integers(1, 900)), "<u4"))]
-    assert p.n_open <= most
-    rows += list(p.flush())
-    assert sum(r[2] for r in rows) == sum({r[0]: r[4] for r in rows}.values())
+    p = packing.Packer()
+    sizes = rng.lognormal(6, 1, 8_000).astype(int) + 1
+    rows = [r for i, n in enumerate(sizes) for r in p.add(i, np.zeros(n, "<u4"))] + [r for r in p.flush()]
+    assert sum(r[2] for r in rows) == sizes.sum() and all(r[7] == 2048 or r[7] & (r[7] - 1) == 0 for r in rows)
+    assert p.placed >= 7_900 and p.moved < 0.1 * p.placed
+
+
+@given(st.lists(st.integers(1, 150), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_every_id_once(sizes):
+    p = packing.Packer(64)
+    ids = [np.arange(n, dtype="<u4") + (1 << 17 if n % 2 else 0) for n in sizes]
+    rows = [r for i, x in enumerate(ids) for r in p.add(i, x)] + list(p.flush())
+    by_doc, by_sequence = {}, {}
+    for doc, start, length, crc, total, sequence, offset, filled in rows:
+        assert total == sizes[doc] and crc == zlib.crc32(ids[doc][start : start + length].tobytes())
+        by_doc.setdefault(doc, []).append((start, length))
+        by_sequence.setdefault(sequence, []).append((offset, length, filled))
+    for doc, own in by_doc.items():
+        own.sort()
+        assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) == sizes[doc]
+    assert set(by_doc) == set(range(len(sizes)))
+    for own in by_sequence.values():
+        own.sort()
+        filled = own[0][2]
+        assert sum(n for _, n, _ in own) == filled and (filled == 64 or filled & (filled - 1) == 0) and [o for o, _, _ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))]
