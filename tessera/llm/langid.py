@@ -4,8 +4,10 @@ For each language l the log posterior is
 
     log P(text | l) + log P(declared | l) + log P(suffix | l) + log P(l | host)
 
-* text: byte trigrams, hashed, with add-half smoothing. The tables are fitted on a bounded sample of
-  each language declared anywhere, the ``SAMPLE_ROWS`` rows of it whose id hashes smallest;
+* text: byte trigrams, hashed, with add-half smoothing. Trigrams of a text depend on each other, so n
+  of them count as n * E / (n + E) with E = ``EFFECTIVE``, and a long text can't outvote all else by its
+  length alone. The tables are fitted on a bounded sample of each language declared anywhere, the
+  ``SAMPLE_ROWS`` rows of it whose id hashes smallest;
 * declared: the markup's or the table's language tag, right with probability ``DECLARED_TRUST``;
 * suffix: the last label of the address, by counts over all rows;
 * host: counts over all rows, grouped by host and drawn in to those of the host's suffix, which are
@@ -18,7 +20,7 @@ A row is rejected (``kept`` false) if it has no letters, or if a background mode
 single bytes explains its text better than every language does, by ``REJECT_MARGIN`` per trigram.
 
 Defined cases: a null or empty text has no text evidence and is rejected; null or unknown tags,
-hosts and addresses add no evidence; without any declared language nothing can be fitted, language
+hosts and addresses add no evidence; columns that the operator adds must not be there; without any declared language nothing can be fitted, language
 is null and rows with letters are kept; repeated rows are judged each; null ids are kept.
 """
 
@@ -41,6 +43,9 @@ SAMPLE_ROWS = 1_000
 DECLARED_TRUST = 0.8
 PRIOR_ROWS = 20.0
 REJECT_MARGIN = 0.5
+#: Independent trigrams that a text is worth at most.
+EFFECTIVE = 16.0
+KINDS = frozenset({"text", "declared", "suffix", "host"})
 BITS = 16
 #: Languages that a task counts before it hands their counts on.
 HELD_LANGUAGES = 32
@@ -61,9 +66,12 @@ class Model:
     table: np.ndarray  # trigram bucket x (languages, background)
 
     def evidence(self, text: str) -> np.ndarray:
-        """Log likelihood per language, then that of the background."""
+        """Tempered log likelihood per language, then that of the background."""
         g = trigrams(text)
-        return self.table[g].sum(0, dtype=np.float64) if len(g) else np.zeros(len(self.languages) + 1)
+        total = np.zeros(len(self.languages) + 1)
+        for at in range(0, len(g), 1 << 16):  # a long text is summed in parts
+            total += self.table[g[at : at + (1 << 16)]].sum(0, dtype=np.float64)
+        return total * (EFFECTIVE / (len(g) + EFFECTIVE))
 
 
 def tag_language(col: Column) -> Column:
@@ -77,15 +85,15 @@ def suffix_of(host: Column) -> Column:
 
 
 def page_columns(pages: DataFrame) -> DataFrame:
-    """Columns ``declared`` (the language of the html element) and ``host`` (of the url) for pages."""
+    """``pages`` with ``declared`` (the language of the html element) and ``host`` (of the url)."""
     return pages.withColumns({
         "declared": F.regexp_extract("html", r"""(?i)<html[^>]*\slang\s*=\s*["']?([A-Za-z-]+)""", 1),
         "host": F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)),
     })
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, declared: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
-    source = docs.select(F.xxhash64(F.col(id_col)).alias("h"), tag_language(declared).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+def train(docs: DataFrame, id_cols: list[str], text_col: str, declared: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
+    source = docs.select(F.xxhash64(*(F.col(f"`{c}`") for c in id_cols)).alias("h"), tag_language(declared).alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
     # ranks are limited before the shuffle, so that of a language at most sample_rows a task are sent
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     last = cut(source.select("lang", "h").withColumn("k", rank).where(F.col("k") <= sample_rows).groupBy("lang").agg(F.max("h").alias("last")))
@@ -206,14 +214,26 @@ def host_priors(evidence: DataFrame, languages: list[str]) -> tuple[DataFrame, D
     return prior, suffix_ll, share
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str | None = "source", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``_language``, ``_confidence`` and ``_kept``."""
+def identify(
+    docs: DataFrame, id_col: str | list[str] = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str | None = "source", keep: list[str] | None = None, use: frozenset[str] = KINDS
+) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``_language``, ``_confidence`` and ``_kept``.
+
+    ``use`` names the kinds of evidence that decide; the text model is fitted on declared tags in any case.
+    """
+    added = {"_language", "_confidence", "_kept", "_declared", "_host", "_suffix", "_ll", "_letters", "_prior", "_suffix_ll", "_total"}
+    if clash := added.intersection(docs.columns):
+        raise ValueError(f"columns have names that the operator adds: {sorted(clash)}")
     declared = F.col(f"`{declared_col}`")
     host = F.lower(F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))) if host_col else F.lit("")
-    model = train(docs, id_col, text_col, declared)
+    model = train(docs, [id_col] if isinstance(id_col, str) else id_col, text_col, declared)
     names, n = model.languages, len(model.languages)
     columns = docs.columns if keep is None else keep
-    rows = docs.withColumns({"_declared": tag_language(declared), "_host": host, "_suffix": F.coalesce(suffix_of(host), F.lit(""))})
+    rows = docs.withColumns({
+        "_declared": tag_language(declared) if "declared" in use else F.lit(None).cast("string"),
+        "_host": host if "host" in use else F.lit(""),
+        "_suffix": F.coalesce(suffix_of(host), F.lit("")) if "suffix" in use else F.lit(""),
+    })
     if not n:
         letters = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
         return rows.select(*columns, F.lit(None).cast("string").alias("_language"), F.lit(0.0).alias("_confidence"), letters.alias("_kept"))
@@ -229,7 +249,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     scored = evidence.join(small(prior, limit), "_host", "left").join(small(suffix_ll, limit), "_suffix", "left")
     # the host's prior already holds its suffix's counts; the suffix speaks where the host says nothing
     prior_ll = F.when(F.col("_host") != "", F.col("_prior"))
-    total = _add(F.slice("_ll", 1, n), _log_declared(F.col("_declared"), names), F.coalesce(prior_ll, _add(neutral, F.col("_suffix_ll")), neutral))
+    text = F.slice("_ll", 1, n) if "text" in use else F.array(*[F.lit(0.0)] * n)
+    total = _add(text, _log_declared(F.col("_declared"), names), F.coalesce(prior_ll, _add(neutral, F.col("_suffix_ll")), neutral))
     scored = scored.withColumn("_total", total)
     best = F.array_position("_total", F.array_max("_total")).cast("int")
     post = F.lit(1.0) / F.aggregate("_total", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("_total")))
@@ -242,9 +263,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     )
 
 
-def op1_language_id(spark, sf_dir: str) -> DataFrame:
+def records(spark, sf_dir: str) -> DataFrame:
+    """All that has a language: documents with their tag and source, pages with markup, address and main text."""
+    from tessera.llm import html
     from tessera.llm.common import read_table
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = identify(docs, keep=["doc_id", "lang"])
-    return found.select("doc_id", F.col("lang").alias("declared"), F.col("_language").alias("language"), F.col("_confidence").alias("confidence"), F.col("_kept").alias("kept"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    pages = page_columns(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = cut(html.extract(pages.select("page_id", "html", "declared", "host")))  # three passes read it
+    return docs.unionByName(pages.select(F.lit(None).cast("bigint").alias("doc_id"), "page_id", "text", "declared", "host"))
+
+
+def op1_language_id(spark, sf_dir: str) -> DataFrame:
+    found = identify(records(spark, sf_dir), ["doc_id", "page_id"], "text", "declared", "host", keep=["doc_id", "page_id", "declared"])
+    return found.select("doc_id", "page_id", "declared", F.col("_language").alias("language"), F.col("_confidence").alias("confidence"), F.col("_kept").alias("kept"))

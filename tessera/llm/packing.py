@@ -80,7 +80,8 @@ class WordEncoder:
 
     def __init__(self, path: str, end_id: int):
         self.tok, self.end = _tokenizer(path), end_id.to_bytes(4, "little")
-        self.words, self.pieces = _stores(path)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.pattern = _fast_pattern(path)
         special = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)), re.I) if special else None
@@ -118,11 +119,6 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
-@functools.lru_cache(1)
-def _stores(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
-    return {}, {}
-
-
 class Packer:
     """Places pieces online; ``rows`` are (document, start, length, crc, total, sequence, offset, filled)."""
 

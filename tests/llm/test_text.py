@@ -38,6 +38,44 @@ def test_priors_decide_where_text_does_not(spark, multilingual):
     assert got[1000]["_language"] == "de" and got[1001]["_language"] == "fr"
 
 
+def test_each_kind_of_evidence_decides_some_rows(spark, multilingual):
+    rng = random.Random(2)
+    shared = "la le est ist die das for with".split()  # words of several languages
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(VOCABULARY))
+        words = rng.choices(VOCABULARY[lang], k=2) if i % 3 else rng.choices(shared, k=1)
+        host = None if i % 4 == 0 else f"new{i}.example.de" if i % 4 == 1 else f"www.{lang}.example.{'de' if lang == 'de' else 'org'}"
+        rows.append((3000 + i, " ".join(words) if i % 5 else "x", lang if i % 2 else None, host, lang))
+    df = multilingual.unionByName(spark.createDataFrame(rows, multilingual.schema))
+    answers = lambda use: {r.doc_id: r["_language"] for r in langid.identify(df, keep=["doc_id"], use=use).collect()}
+    every = answers(langid.KINDS)
+    for kind in langid.KINDS:
+        assert sum(x != every[i] for i, x in answers(langid.KINDS - {kind}).items()) > 0, kind
+
+
+def test_a_long_text_counts_for_a_bounded_number_of_trigrams(multilingual):
+    model = langid.train(multilingual, ["doc_id"], "text", langid.F.col("lang"))
+    one, many = model.evidence("the and of is to in that " * 20), model.evidence("the and of is to in that " * 20_000)
+    assert np.ptp(many) < 1.1 * np.ptp(one) < langid.EFFECTIVE * 12
+
+
+def test_clashing_names_are_told(multilingual):
+    with pytest.raises(ValueError):
+        langid.identify(multilingual.withColumn("_host", langid.F.lit(1)))
+
+
+def test_pages_and_documents(spark, tmp_path, multilingual):
+    multilingual.select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    rng = random.Random(4)
+    rows = [(i, f"https://{'a' if i % 2 else 'b'}.example.{lang}/x", f'<html lang="{lang}-XX"><body><nav><a href=x>home of and to</a></nav><article><p>{" ".join(rng.choices(VOCABULARY[lang], k=25))}</p></article></body></html>') for i, lang in enumerate(rng.choices(list(VOCABULARY), k=40))]
+    spark.createDataFrame([*rows, (40, None, None), (None, "https://x.example.de", "<html><body>1</body></html>")], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = langid.op1_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == 240 + 42 and sum(r.doc_id is not None for r in got) == 240
+    pages = {r.page_id: r for r in got if r.page_id is not None}
+    assert all(pages[i].language == rows[i][2][12:14] and pages[i].kept for i in range(40)) and not pages[40].kept
+
+
 def test_language_edges(spark, multilingual):
     odd = documents(spark, ODD, first=5000).selectExpr("doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "'' truth")
     got = {r.doc_id - 5000: r for r in langid.identify(multilingual.unionByName(odd)).collect() if r.doc_id >= 5000}
