@@ -1,21 +1,24 @@
-"""Removal of repeated lines and sentences, by digests that are grouped over the whole corpus.
-
-A document is cut into lines, and lines of several sentences into sentences. A unit is normalised to
-its lower-case words. Units of at least ``LEAST_WORDS`` words are known by their own words. A shorter
-line or sentence is known by two runs of ``LEAST_WORDS`` words of the document, the one that ends with
-it and the one that begins with it, and goes if either is repeated. So a common short line or sentence
-stays where what stands around it is new, and a repeated passage of short lines goes from its first
-line to its last. A line that begins with a short sentence is also known as a whole. Long words count
-once per ``WORD_CHARS`` characters, and two characters of a script without spaces count as a word.
-
-Per digest the smallest id keeps its (first) occurrence; all others go, with the white space after
-them. A document's own repetitions are found where it is read, so the shuffle holds a digest at most
+"""Removal of repeated passages, by digests of lines, sentences and clauses grouped over the whole corpus.
+
+A document is cut into lines, and lines into sentences and clauses. A unit is normalised to its
+lower-case words. Units of at least ``LEAST_WORDS`` words are known by their own words. A shorter unit is
+known by two runs of ``LEAST_WORDS`` words of the document, the one that ends with it and the one that
+begins with it, and is repeated if either is. So a common short line isn't taken for a repetition where
+what stands around it is new, and a repeated passage of short lines is one from its first line to its
+last. A line that begins with a short unit is also known as a whole. Long words count once per
+``WORD_CHARS`` characters, and two characters of a script without spaces count as a word.
+
+Per digest the smallest id keeps its (first) occurrence. All other repeated units go, with the white
+space after them, where units next to each other hold ``LEAST_RUN`` words together: a line of
+boilerplate alone stays, a passage goes. What is left of a passage are parts of clauses at its ends.
+
+A document's own repetitions are found where it is read, so the shuffle holds a digest at most
 once per document, and only digests of several documents come back. Spans are offsets in code points
 of the original text.
 
 Defined cases: null and empty texts have no units and stay as they are; rows that share an id are
-one document and keep their occurrences; rows with a null id are ranked last and their units are
-removed if any other id has them; other columns stay, whatever their names.
+one document and keep their occurrences; rows with a null id are ranked last, each text by itself, and
+their units are repeated if any other id has them; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, small, tidy
 
-LEAST_WORDS = 8
+LEAST_WORDS, LEAST_RUN = 8, 16
 #: Repeated digests (24 bytes each) up to which they are broadcast.
 BROADCAST_DIGESTS = 50_000
 
@@ -41,15 +44,19 @@ WORD_CHARS = 16
 _SPACELESS = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
 _LINE = re.compile(r"[^\n]+\n*|\n+")
-_END = re.compile(r"[.!?…][\"'”»)]*\s+|[。！？][\"'”’」』）]*\s*")
+_END = re.compile(r"[.!?…][\"'”»)]*\s+|[,;:]\s+|[。！？、，；：][\"'”’」』）]*\s*")
 _WORD = re.compile(rf"[^\W_]{{1,{WORD_CHARS}}}")
 _ANY_WORD = re.compile(rf"[^\W_{_SPACELESS}]{{1,{WORD_CHARS}}}|[{_SPACELESS}]{{1,2}}")
 _HAS_SPACELESS = re.compile(f"[{_SPACELESS}]")
 
 
+def _words(text: str):
+    return (_ANY_WORD if not text.isascii() and _HAS_SPACELESS.search(text) else _WORD).findall
+
+
 def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, str]]:
-    """``(start, end, key)`` of each unit that can be removed; a line comes before its sentences."""
-    find = (_ANY_WORD if not text.isascii() and _HAS_SPACELESS.search(text) else _WORD).findall
+    """``(start, end, key)`` of each unit that can be removed; a line comes before its parts."""
+    find = _words(text)
     words: list[str] = []  # of the document
     found = []  # (start, end, first word, word after the last, whether a line of several sentences)
     for line in _LINE.finditer(text):
@@ -86,35 +93,46 @@ def _digests(text: str) -> list[tuple[int, int, bytes]]:
     return [(a, b, digest(key)) for a, b, key in units(text)]
 
 
+def _row_key(id_col: str, text_col: str):
+    """0, but for rows with a null id a hash of the text, so that those rows don't meet in one group.
+
+    What is repeated in a row with a null id is so in any such row, so equal hashes do no harm.
+    """
+    return F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.col(f"`{text_col}`"))).otherwise(F.lit(0).cast("bigint"))
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, digests)``: per document the digests that a smaller id has too."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """``(id, k, digests)``: per document the digests that a smaller id has too."""
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), _row_key(id_col, text_col).alias("k"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, counts = [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 own = {d for _, _, d in _digests(t.as_py() or "")}
                 found += own
                 counts.append(len(own))
             h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], ["id", "h1", "h2"])
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], ["id", "k", "h1", "h2"])
 
-    places = source.mapInArrow(tidy(run), f"id {kind}, h1 bigint, h2 bigint")
+    places = source.mapInArrow(tidy(run), f"id {kind}, k bigint, h1 bigint, h2 bigint")
     firsts = places.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nulls"))
     firsts = cut(firsts.where("first != last or (nulls and first is not null)").select("h1", "h2", "first"))
     again = places.join(small(firsts, BROADCAST_DIGESTS), ["h1", "h2"]).where("id is null or id != first")
-    return again.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
+    return again.groupBy("id", "k").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text that is left and ``_spans``, the removed parts of the original text."""
     names = docs.columns
     at = names.index(text_col)
-    gone = repeated(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("digests").alias("_digests"))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left").drop("_id")
+    if clash := {"_id", "_k", "_digests", "_spans"}.intersection(names):
+        raise ValueError(f"columns have names that the operator adds: {sorted(clash)}")
+    gone = repeated(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("k").alias("_k"), F.col("digests").alias("_digests"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (_row_key(id_col, text_col) == F.col("_k"))
+    joined = docs.join(gone, same, "left").drop("_id", "_k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +157,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def removed(text: str, others: set[bytes]) -> list[list[int]]:
-    """Spans of the units whose digest is in ``others`` or came before in the text, joined."""
+    """Spans of the units whose digest is in ``others`` or came before in the text, joined, that are long enough."""
     seen: set[bytes] = set()
     out: list[list[int]] = []
     for a, b, d in _digests(text):
@@ -149,7 +167,8 @@ def removed(text: str, others: set[bytes]) -> list[list[int]]:
             else:
                 out.append([a, b])
         seen.add(d)
-    return out
+    find = _words(text)
+    return [[a, b] for a, b in out if len(find(text[a:b])) >= LEAST_RUN]
 
 
 def op10_repeated_passages(spark, sf_dir: str) -> DataFrame:

@@ -270,18 +270,67 @@ def test_fingerprint_edges(spark, tmp_path):
 # --- repeated passages ------------------------------------------------------------------------
 
 
+def slow_units(text):
+    """(start, end, keys) by plain rules: lines, in them what ends with punctuation and white space."""
+    word = "[^\\W_]"
+    ends = [0]
+    out = []
+    for line in re.findall(r"[^\n]+\n*|\n+", text):
+        start, stop = ends[-1], ends[-1] + len(line)
+        ends.append(stop)
+        cuts = [start] + [start + m.end() for m in re.finditer(r"[.!?…][\"'”»)]*\s+|[,;:]\s+", line)]
+        cuts += [stop] if cuts[-1] < stop else []
+        own = list(zip(cuts, cuts[1:]))
+        count = lambda a, b: len(re.findall(f"{word}+", text[a:b]))
+        if len(own) > 1 and count(*own[0]) < 8 <= count(start, stop):
+            out.append((start, stop, "line"))
+        out += [(a, b, "part") for a, b in own]
+    keyed = []
+    for a, b, what in out:
+        before = re.findall(f"{word}+", text[:b].lower())
+        own = re.findall(f"{word}+", text[a:b].lower())
+        after = re.findall(f"{word}+", text[a:].lower())
+        if what == "line":
+            keyed.append((a, b, [("line", *own)]))
+        elif len(own) >= 8:
+            keyed.append((a, b, [("own", *own)]))
+        elif own:
+            keyed.append((a, b, [("own", *before[-8:])] * (len(before) >= 8) + [("after", *after[:8])] * (len(after) >= 8)))
+    return keyed
+
+
 def slow_dedup(texts):
     first = {}
     for i, t in enumerate(texts):
-        for _, _, d in lines._digests(t or ""):
-            first.setdefault(d, i)
+        for _, _, keys in slow_units(t or ""):
+            for key in keys:
+                first.setdefault(key, i)
     out = []
     for i, t in enumerate(texts):
-        gone = lines.removed(t or "", {d for _, _, d in lines._digests(t or "") if first[d] != i})
-        out.append("".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in gone)) if t else t)
+        gone, seen = [False] * len(t or ""), set()
+        for a, b, keys in slow_units(t or ""):
+            if any(first[k] != i or k in seen for k in keys):
+                gone[a:b] = [True] * (b - a)
+            seen.update(keys)
+        at = 0
+        while at < len(gone):
+            end = next((k for k in range(at, len(gone)) if gone[k] != gone[at]), len(gone))
+            if gone[at] and len(re.findall(r"[^\W_]+", t[at:end])) < 16:
+                gone[at:end] = [False] * (end - at)
+            at = end
+        out.append("".join(c for c, g in zip(t, gone) if not g) if t else t)
     return out
 
 
+def test_passages_against_plain_rules(spark):
+    rng = random.Random(21)
+    words = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    bits = [prose(rng, n, words) for n in (3, 9, 17, 30)] + ["one, two; three: four", "Five six. ", "a_b", "\n\n", "seven\neight\nnine\nten\n"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "\n", ", "]) for _ in range(rng.randint(1, 9))) for _ in range(150)] + ODD[:9]
+    got = [r.text for r in lines.deduplicate(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == slow_dedup(texts)
+
+
 def test_repeated_passages(spark):
     rng = random.Random(11)
     passage = prose(rng, 70).replace("\n", " ")
@@ -321,9 +370,19 @@ def test_passage_of_short_lines(spark):
     assert got[7] == texts[7].replace("was eran\n" * 58, "was eran\n")
 
 
+def test_boilerplate_alone_stays(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, 30) + "\nSubscribe to our letter and never miss a story from us again.\n" + prose(rng, 30) for _ in range(6)]
+    assert [r.text for r in lines.deduplicate(documents(spark, texts)).orderBy("doc_id").collect()] == texts
+
+
 def test_passage_edges(spark):
     assert lines.deduplicate(documents(spark, [])).count() == 0
-    t = "one two three four five six seven eight nine."
+    with pytest.raises(ValueError):
+        lines.deduplicate(documents(spark, [], extra=True))
+    t = " ".join(f"word{i}" for i in range(17)) + "."
+    nulls = spark.createDataFrame([(None, t), (None, t + " And new."), (None, "x"), (None, None)], "doc_id bigint, text string")
+    assert sorted(r.text or "" for r in lines.deduplicate(nulls).collect()) == sorted(["", t, t + " And new.", "x"])
     rows = [(1, t), (1, t), (None, t), (0, None), (2, t + "\n" + t)]
     got = lines.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in got) == [(-1, ""), (0, ""), (1, t), (1, t), (2, "")]
