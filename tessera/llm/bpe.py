@@ -36,8 +36,8 @@ from tessera.llm.common import WHITE_SPACE, tidy
 
 #: Characters of text in a block. A longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
-#: Buckets of words for each shuffle partition.
-BUCKETS_EACH = 4
+#: Buckets of words for each shuffle partition, bytes of input that a bucket aims at, and the most buckets.
+BUCKETS_EACH, BUCKET_BYTES, MOST_BUCKETS = 4, 32_000_000, 65_536
 
 _SPACES = re.compile(f"[{WHITE_SPACE}]")
 _CHUNK = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
@@ -190,7 +190,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
-    n_buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # by the files' sizes
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(n_parts, min(planned // BUCKET_BYTES, MOST_BUCKETS) // BUCKETS_EACH)
+    n_buckets = BUCKETS_EACH * n_parts
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern)
@@ -260,7 +263,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     id_arrow = to_arrow_type(source.schema["id"].dataType)
     words = source.mapInArrow(tidy(words_of), "bucket bigint, block bigint, words binary")
-    words = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(encode_words), "block bigint, bucket bigint, ids binary")
+    words = words.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(encode_words), "block bigint, bucket bigint, ids binary")
     streams = source.mapInArrow(tidy(streams_of), f"block bigint, id array<{id_type}>, sizes array<bigint>, buckets binary, stream binary")
     return words.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(rebuild, f"id {id_type}, ids array<int>")
 

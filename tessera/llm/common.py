@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of (id, few numbers) may be broadcast; 8 to 24 bytes a row.
-BROADCAST_ROWS = 500_000
+#: Estimated bytes up to which a table may be broadcast.
+BROADCAST_BYTES = 16_000_000
 
 #: The code points that the public pattern's ``\\s`` matches (Unicode White_Space).
 WHITE_SPACE = "\t-\r \x85\xa0" + "{}{}-{}{}{}{}{}{}".format(*map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -54,10 +54,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new one if unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a new local one if unset, on one machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="tessera-")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
@@ -72,9 +77,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has been counted and has at most ``limit`` rows."""
-    return F.broadcast(df) if df.count() <= limit else df
+def size_of(df: DataFrame) -> int:
+    """Estimated bytes of all rows, from their number and the lengths of their strings, binaries and arrays."""
+    fixed, sums = 16, []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sums.append(F.sum(F.octet_length(f"`{f.name}`")))
+        elif kind in ("array", "map", "struct"):
+            sums.append(F.sum(F.octet_length(F.to_json(F.struct(f"`{f.name}`")))))
+        fixed += 8
+    n, *more = df.agg(F.count("*"), *sums).first()
+    return n * fixed + sum(x or 0 for x in more)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if it has been measured and takes at most ``limit`` bytes."""
+    return F.broadcast(df) if size_of(df) <= limit else df
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,21 +72,29 @@ def as_text(a: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column]) -> DataFrame:
     """``docs`` with ``derived`` columns, and ``next_`` text and derived columns of the next row.
 
-    Next is meant in descending order of a numeric id; the last row gets the first's. The order is
-    cut into ranges by quantiles and ranges into parts, so that parts hold a few rows whatever the
-    ids are. Neighbours inside a part come from a window over the part; the heads of parts are linked
-    by a window over their range, and the heads of at most ``RANGES`` ranges by one over all of them.
+    Next is meant in descending order of a numeric id, null ids last by hash; the last row gets the
+    first's. The order is cut into ranges by quantiles and ranges into parts, so that parts hold a few
+    rows whatever the ids are; null ids are a range of their own, cut by hash. Neighbours inside a part
+    come from a window over the part. Parts are linked by their numbers, in a window over their range and
+    one over the at most ``RANGES`` + 1 ranges; the text that heads the next part is then fetched by a join.
     """
+    names = docs.columns
+    if clash := {"_r", "_p", "_tie", "_n", "_last", "_head"}.intersection(names):
+        raise ValueError(f"columns have names that the operator adds: {sorted(clash)}")
     known = docs.where(F.col(id_col).isNotNull())
     stats = known.agg(F.percentile_approx(id_col, [i / RANGES for i in range(1, RANGES)], 10_000), F.min(id_col), F.max(id_col), F.count("*")).first()
+    n_nulls = docs.where(F.col(id_col).isNull()).count()
     bounds = sorted({*(stats[0] or []), stats[1], stats[2]} - {None}) or [0]
-    n_parts = max(1, stats[3] // (PART_ROWS * len(bounds)))
+    n_parts, null_parts = max(1, stats[3] // (PART_ROWS * len(bounds))), max(1, n_nulls // PART_ROWS)
     table = F.array(*map(F.lit, bounds))
     docs = docs.withColumn("_r", F.when(F.col(id_col).isNull(), -1).otherwise(F.size(F.filter(table, lambda b: b <= F.col(id_col))) - 1))
     low = F.get(table, F.col("_r"))
     high = F.coalesce(F.get(table, F.col("_r") + 1), low + 1)
     inside = F.floor((F.col(id_col) - low).cast("double") / (high - low).cast("double") * n_parts)
-    docs = docs.withColumns({"_p": F.coalesce(F.least(inside, F.lit(n_parts - 1)), F.lit(0)).cast("bigint"), "_tie": F.xxhash64(text_col)})
+    inside = F.coalesce(F.least(inside, F.lit(n_parts - 1)), F.lit(0))
+    by_hash = F.least(F.floor((F.xxhash64(text_col).cast("double") + 2.0**63) / 2.0**64 * null_parts), F.lit(null_parts - 1))
+    part = F.when(F.col(id_col).isNull(), F.lit(null_parts - 1) - by_hash).otherwise(inside)
+    docs = docs.withColumns({"_p": part.cast("bigint"), "_tie": F.xxhash64(text_col)})
 
     carry = [text_col, *derived]
     value = F.struct(*carry)
@@ -96,18 +104,22 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Co
 
     # the first row of each part, found by its id and then fetched
     tops = cut(docs.groupBy("_r", "_p").agg(F.max(id_col).alias("_top")))
-    heads = docs.join(small(tops.select("_r", "_p", "_top")), ["_r", "_p"]).where(F.col(id_col).eqNullSafe(F.col("_top")))
+    heads = docs.join(small(tops), ["_r", "_p"]).where(F.col(id_col).eqNullSafe(F.col("_top")))
     heads = heads.groupBy("_r", "_p").agg(F.min(F.struct("_tie", text_col)).alias("_h")).select("_r", "_p", f"_h.{text_col}")
-    heads = cut(heads.withColumns(derived).select("_r", "_p", value.alias("_head")))
+    heads = heads.withColumns(derived).select(F.col("_r").alias("_nr"), F.col("_p").alias("_np"), value.alias("_head"))
+    # which part comes next, by numbers alone
     within = Window.partitionBy("_r").orderBy(F.col("_p").desc())
-    linked = heads.withColumns({"_after": F.lead("_head").over(within), "_at": F.row_number().over(within)})
-    firsts = cut(linked.where("_at = 1").select("_r", "_head"))  # at most a row for each range
+    linked = tops.select("_r", "_p", F.lead("_p").over(within).alias("_np"), F.row_number().over(within).alias("_at"))
+    firsts = cut(linked.where("_at = 1").select("_r", "_p"))  # a row for each range
     everything = Window.orderBy(F.col("_r").desc())
     whole = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("_r", F.coalesce(F.lead("_head").over(everything), F.first("_head").over(whole)).alias("_top"))
-    linked = linked.join(F.broadcast(firsts), "_r").select("_r", "_p", F.coalesce("_after", "_top").alias("_after"), F.lit(True).alias("_last"))
-    out = rows.join(linked, ["_r", "_p", "_last"], "left").withColumn("_n", F.coalesce("_n", "_after"))
-    names = [c for c in docs.columns if not c.startswith("_")]
+    first = F.struct("_r", "_p")
+    firsts = firsts.select("_r", F.coalesce(F.lead(first).over(everything), F.first(first).over(whole)).alias("_top"))
+    linked = linked.join(F.broadcast(firsts), "_r")
+    same = F.col("_np").isNotNull()
+    linked = linked.select("_r", "_p", F.when(same, F.col("_r")).otherwise(F.col("_top._r")).alias("_nr"), F.when(same, F.col("_np")).otherwise(F.col("_top._p")).alias("_np"), F.lit(True).alias("_last"))
+    linked = linked.join(heads, ["_nr", "_np"]).drop("_nr", "_np")
+    out = rows.join(linked, ["_r", "_p", "_last"], "left").withColumn("_n", F.coalesce("_n", "_head"))
     return out.select(*names, *derived, *(F.col(f"_n.{c}").alias(f"next_{c}") for c in carry))
 
 

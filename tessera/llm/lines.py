@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, small, tidy
 
 LEAST_WORDS, LEAST_RUN = 8, 16
-#: Repeated digests (24 bytes each) up to which they are broadcast.
-BROADCAST_DIGESTS = 50_000
+#: Bytes of repeated digests up to which they are broadcast.
+BROADCAST_DIGESTS = 2_000_000
 
 #: Characters of a run without spaces that count as a word.
 WORD_CHARS = 16

@@ -193,7 +193,8 @@ def is_held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on labelled rows that aren't held out. A doc_id with two labels has the smaller one."""
+    """Fit on labelled rows that aren't held out. An id with two labels has the smaller one; of rows that share
+    an id, the one whose n-grams come first stands for them."""
     sample = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out("id"))
@@ -209,10 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = [f(t.as_py() or "").astype("<i4").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(out, pa.binary())], ["id", "y", "grams"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")  # at most max_labelled ids
     types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    found = texts.mapInArrow(tidy(grams), f"id {types['id']}, y {types['y']}, grams binary").limit(2 * max_labelled).collect()
-    found = sorted(found, key=lambda r: (r["id"], bytes(r["grams"])))
+    # rows that share an id give one example, the one whose n-grams come first
+    found = texts.mapInArrow(tidy(grams), f"id {types['id']}, y {types['y']}, grams binary").groupBy("id", "y").agg(F.min("grams").alias("grams")).collect()
+    found = sorted(found, key=lambda r: r["id"])
     return fit([np.frombuffer(r["grams"], "<i4").astype(np.int64) for r in found], np.array([r["y"] for r in found], int))
 
 
