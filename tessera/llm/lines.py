@@ -1,6 +1,7 @@
 """Removal of repeated passages, by digests of lines, sentences and clauses grouped over the whole corpus.
 
-A document is cut into lines, and lines into sentences and clauses. A unit is normalised to its
+A document is cut into lines, lines into sentences, and sentences into clauses of ``LEAST_WORDS`` words
+or more. A unit is normalised to its
 lower-case words. Units of at least ``LEAST_WORDS`` words are known by their own words. A shorter unit is
 known by two runs of ``LEAST_WORDS`` words of the document, the one that ends with it and the one that
 begins with it, and is repeated if either is. So a common short line isn't taken for a repetition where
@@ -13,7 +14,8 @@ space after them, where units next to each other hold ``LEAST_RUN`` words togeth
 boilerplate alone stays, a passage goes. What is left of a passage are parts of clauses at its ends.
 
 A document's own repetitions are found where it is read, so the shuffle holds a digest at most
-once per document, and only digests of several documents come back. Spans are offsets in code points
+once per document, and only digests of several documents come back, with a mark for each document that
+repeats itself; all others aren't read again. Spans are offsets in code points
 of the original text.
 
 Defined cases: null and empty texts have no units and stay as they are; rows that share an id are
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, small, tidy
 
 LEAST_WORDS, LEAST_RUN = 8, 16
+#: First half of the digests that mark documents which repeat themselves; the second half is of the text.
+OWN = b"repeated"
 #: Bytes of repeated digests up to which they are broadcast.
 BROADCAST_DIGESTS = 2_000_000
 
@@ -44,7 +48,8 @@ WORD_CHARS = 16
 _SPACELESS = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
 _LINE = re.compile(r"[^\n]+\n*|\n+")
-_END = re.compile(r"[.!?…][\"'”»)]*\s+|[,;:]\s+|[。！？、，；：][\"'”’」』）]*\s*")
+_END = re.compile(r"[.!?…][\"'”»)]*\s+|[。！？][\"'”’」』）]*\s*")
+_CLAUSE = re.compile(r"[,;:]\s+|[、，；：]")
 _WORD = re.compile(rf"[^\W_]{{1,{WORD_CHARS}}}")
 _ANY_WORD = re.compile(rf"[^\W_{_SPACELESS}]{{1,{WORD_CHARS}}}|[{_SPACELESS}]{{1,2}}")
 _HAS_SPACELESS = re.compile(f"[{_SPACELESS}]")
@@ -62,16 +67,22 @@ def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, str]]
     for line in _LINE.finditer(text):
         start, stop = line.span()
         at, first = start, len(words)
-        parts = []  # the sentences; the line's last one ends with the line
-        for m in _END.finditer(text, start, stop):
-            k = len(words)
-            words += find(text[at : m.end()].lower())
-            parts.append((at, m.end(), k, len(words), False))
-            at = m.end()
-        if at < stop:
-            k = len(words)
-            words += find(text[at:stop].lower())
-            parts.append((at, stop, k, len(words), False))
+        parts = []
+        ends = [m.end() for m in _END.finditer(text, start, stop)]
+        if not ends or ends[-1] < stop:
+            ends.append(stop)  # the line's last sentence ends with the line
+        for end in ends:
+            own = find(text[at:end].lower())
+            i, j = len(words), len(words) + len(own)
+            words += own
+            if len(own) >= 2 * least:  # clauses, where both sides of a mark have words enough
+                for m in _CLAUSE.finditer(text, at, end):
+                    k = i + len(find(text[at : m.end()]))
+                    if k - i >= least and j - k >= least:
+                        parts.append((at, m.end(), i, k, False))
+                        at, i = m.end(), k
+            parts.append((at, end, i, j, False))
+            at = end
         if len(parts) > 1 and parts[0][3] - first < least <= len(words) - first:
             found.append((start, stop, first, len(words), True))
         found += parts
@@ -102,7 +113,7 @@ def _row_key(id_col: str, text_col: str):
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, k, digests)``: per document the digests that a smaller id has too."""
+    """``(id, k, digests)``: per document the digests that a smaller id has too; one of ``OWN`` if it repeats itself."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), _row_key(id_col, text_col).alias("k"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -110,7 +121,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             found, counts = [], []
             for t in batch.column(2):
-                own = {d for _, _, d in _digests(t.as_py() or "")}
+                text = t.as_py() or ""
+                every = _digests(text)
+                own = {d for _, _, d in every}
+                if len(own) < len(every) and removed(text, set(), every):
+                    own.add(OWN + xxhash.xxh3_64_digest(text))
                 found += own
                 counts.append(len(own))
             h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
@@ -119,8 +134,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     places = source.mapInArrow(tidy(run), f"id {kind}, k bigint, h1 bigint, h2 bigint")
     firsts = places.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nulls"))
-    firsts = cut(firsts.where("first != last or (nulls and first is not null)").select("h1", "h2", "first"))
-    again = places.join(small(firsts, BROADCAST_DIGESTS), ["h1", "h2"]).where("id is null or id != first")
+    marks = F.col("h1") == int.from_bytes(OWN, "little", signed=True)
+    firsts = cut(firsts.where(F.expr("first != last or (nulls and first is not null)") | marks).select("h1", "h2", "first"))
+    again = places.join(small(firsts, BROADCAST_DIGESTS), ["h1", "h2"]).where(F.expr("id is null or id != first") | marks)
     return again.groupBy("id", "k").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
 
 
@@ -140,8 +156,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for t, digests in zip(batch.column(at), batch.column(len(names))):
                 text = t.as_py()
                 out: list[list[int]] = []
-                if text:
-                    others = {np.array([d["h1"], d["h2"]], "<i8").tobytes() for d in digests.as_py() or ()}
+                if text and digests.is_valid:
+                    others = {np.array([d["h1"], d["h2"]], "<i8").tobytes() for d in digests.as_py()}
                     out = removed(text, others)
                     if out:
                         ends = [0, *(b for _, b in out)]
@@ -156,11 +172,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.mapInArrow(tidy(run), f"{fields}, _spans array<struct<start: bigint, end: bigint>>")
 
 
-def removed(text: str, others: set[bytes]) -> list[list[int]]:
+def removed(text: str, others: set[bytes], every: list[tuple[int, int, bytes]] | None = None) -> list[list[int]]:
     """Spans of the units whose digest is in ``others`` or came before in the text, joined, that are long enough."""
     seen: set[bytes] = set()
     out: list[list[int]] = []
-    for a, b, d in _digests(text):
+    for a, b, d in every or _digests(text):
         if d in others or d in seen:
             if out and a <= out[-1][1]:
                 out[-1][1] = max(out[-1][1], b)

@@ -278,10 +278,16 @@ def slow_units(text):
     for line in re.findall(r"[^\n]+\n*|\n+", text):
         start, stop = ends[-1], ends[-1] + len(line)
         ends.append(stop)
-        cuts = [start] + [start + m.end() for m in re.finditer(r"[.!?…][\"'”»)]*\s+|[,;:]\s+", line)]
+        cuts = [start] + [start + m.end() for m in re.finditer(r"[.!?…][\"'”»)]*\s+", line)]
         cuts += [stop] if cuts[-1] < stop else []
-        own = list(zip(cuts, cuts[1:]))
         count = lambda a, b: len(re.findall(f"{word}+", text[a:b]))
+        own = []
+        for a, b in zip(cuts, cuts[1:]):
+            for m in re.finditer(r"[,;:]\s+", text[a:b]):
+                c = a + m.end()
+                if min(count(own[-1][1] if own and own[-1][1] > a else a, c), count(c, b)) >= 8:
+                    own.append((own[-1][1] if own and own[-1][1] > a else a, c))
+            own.append((own[-1][1] if own and own[-1][1] > a else a, b))
         if len(own) > 1 and count(*own[0]) < 8 <= count(start, stop):
             out.append((start, stop, "line"))
         out += [(a, b, "part") for a, b in own]
@@ -325,7 +331,8 @@ def slow_dedup(texts):
 def test_passages_against_plain_rules(spark):
     rng = random.Random(21)
     words = ["ab", "cd", "ef", "gh", "ij", "kl"]
-    bits = [prose(rng, n, words) for n in (3, 9, 17, 30)] + ["one, two; three: four", "Five six. ", "a_b", "\n\n", "seven\neight\nnine\nten\n"]
+    long = [" ".join(prose(rng, n, words).lower().replace(".", ",").split()) for n in (20, 40)]
+    bits = long + [prose(rng, n, words) for n in (3, 9, 17, 30)] + ["one, two; three: four", "Five six. ", "a_b", "\n\n", "seven\neight\nnine\nten\n"]
     texts = ["".join(rng.choice(bits) + rng.choice([" ", "\n", ", "]) for _ in range(rng.randint(1, 9))) for _ in range(150)] + ODD[:9]
     got = [r.text for r in lines.deduplicate(documents(spark, texts)).orderBy("doc_id").collect()]
     assert got == slow_dedup(texts)
