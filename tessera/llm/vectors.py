@@ -49,7 +49,7 @@ def _prepared(source: DataFrame) -> DataFrame:
                 if label is not None and v.is_valid and len(v.values) and not v.values.null_count:
                     got = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                     if np.isfinite(got).all() and got.any():
-                        x = (got + 0.0).astype("<f8").tobytes()  # + 0.0: one zero
+                        x = packed(got + 0.0)  # + 0.0: one zero
                 data.append(x)
                 digests.append(xxhash.xxh3_128_digest(repr(label).encode() + b"\0" + (x or b"")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["id", "label", "key", "vec"])
@@ -58,8 +58,19 @@ def _prepared(source: DataFrame) -> DataFrame:
     return source.mapInArrow(tidy(run), f"id {types['id']}, label {types['label']}, key binary, vec binary")
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The width of a component and the components, as single precision if that loses nothing."""
+    with np.errstate(over="ignore"):
+        narrow = x.astype("<f4")
+    return b"\4" + narrow.tobytes() if np.array_equal(narrow, x) else b"\x08" + x.astype("<f8").tobytes()
+
+
+def dimensions(v: bytes) -> int:
+    return len(v) // v[0]
+
+
 def unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.array([np.frombuffer(v, "<f8") for v in vectors])
+    x = np.array([np.frombuffer(v, f"<f{v[0]}", offset=1) for v in vectors], float)
     x = x / np.abs(x).max(1, keepdims=True)  # against overflow of the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -68,7 +79,7 @@ def choose_pivots(sample: list[bytes], n: int) -> dict[int, np.ndarray]:
     """Up to ``n`` pivots for each vector length, spread out: of two candidates the farther one."""
     by_size: dict[int, list[bytes]] = {}
     for v in sample:
-        by_size.setdefault(len(v) // 8, []).append(v)
+        by_size.setdefault(dimensions(v), []).append(v)
     out = {}
     for size, own in by_size.items():
         x = unit(own)
@@ -92,7 +103,7 @@ def _described(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column("vec").to_pylist()
-            sizes = np.array([len(v) // 8 for v in data], np.int64)
+            sizes = np.array([dimensions(v) for v in data], np.int64)
             prefix: list = [None] * len(data)
             for size in set(sizes.tolist()):
                 at = np.flatnonzero(sizes == size)
@@ -143,8 +154,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reps = cut(classes.where("alone").drop("id", "alone").unionByName(classes.where("not alone and id = rep").drop("id", "alone").dropDuplicates(["key"])))
 
     n_reps, longest = reps.agg(F.count("*"), F.max(F.length("vec"))).first()
-    n_pivots = max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(n_reps), PIVOT_BYTES // (longest or 8)))
-    wanted = min(SAMPLED_EACH * n_pivots, 2 * PIVOT_BYTES // (longest or 8)) or 1
+    longest = 2 * longest if longest else 8  # as double precision
+    n_pivots = max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(n_reps), PIVOT_BYTES // longest))
+    wanted = min(SAMPLED_EACH * n_pivots, 2 * PIVOT_BYTES // longest) or 1
     sample = [bytes(r[0]) for r in reps.orderBy(F.xxhash64("key"), "key").limit(wanted).select("vec").collect()]
     described = cut(_described(reps.select("key", "label", "n", "vec"), choose_pivots(sample, n_pivots)))
 
