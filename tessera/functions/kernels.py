@@ -7,16 +7,22 @@ orders them so that all expressions over time that can be computed come before a
 then sorts once per (code, day) and once per day for each turn, and not once per expression.
 
 Expressions are plain text, so the text that Spark runs can be held against the same formula on
-another engine. The two dialects differ in list functions, quantiles and lambdas only.
+another engine. The two dialects differ in list functions, quantiles and lambdas; and recursions that
+start anew with every row's window, which SQL folds over a list for each row, run in Spark as numpy code
+over the rows of a code (``recursive``), all those of a stage in one pass over Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import recursive
+
 #: Fewest rows per unit of window that a rolling kernel needs.
 HALF = 2
 EPS = "1e-8"
@@ -26,8 +32,9 @@ _NODE = re.compile(r"\bn\d+_\b")
 class Kernels:
     def __init__(self, dialect: str = "spark", rows: int = 130):
         self.spark, self.rows = dialect == "spark", rows
-        self.nodes: dict[str, tuple[str, str]] = {}  # name: (over "time" or "day", SQL)
+        self.nodes: dict[str, tuple[str, str]] = {}  # name: (over "time", "day" or "rows", SQL)
         self._named: dict[str, str] = {}
+        self._calls: dict[str, tuple[str, str, tuple, int]] = {}  # nodes over "rows": function, SQL of its values, arguments, result
 
     # --- nodes -------------------------------------------------------------------------------
 
@@ -49,7 +56,8 @@ class Kernels:
                 todo += _NODE.findall(self.nodes[name][1])
         out: list[list[str]] = []
         done: set[str] = set()
-        over = "time"
+        turns = ("rows", "time", "day")
+        over = "rows"
         while len(done) < len(need):
             ready = [n for n in self.nodes if n in need and n not in done and done.issuperset(_NODE.findall(self.nodes[n][1]))]
             now = [n for n in ready if self.nodes[n][0] == over]
@@ -57,13 +65,47 @@ class Kernels:
                 out.append(now)
                 done.update(now)
             else:
-                over = "day" if over == "time" else "time"
+                over = turns[(turns.index(over) + 1) % 3]
         return out
 
+    def call(self, function: str, x: str, *args: object, result: int = 0) -> str:
+        """The name of a column that holds a result of a recursion over the rows of a code."""
+        name = self.node("rows", f"{function}[{result}]{args!r} of {x}")
+        self._calls[name] = (function, x, args, result)
+        return name
+
+    def _recurse(self, panel: DataFrame, names: list[str]) -> DataFrame:
+        """``panel`` with the results of recursions, in one pass over the rows of each code."""
+        inputs = list(dict.fromkeys(self._calls[n][1] for n in names))
+        calls = [(f, inputs.index(x), args, result) for f, x, args, result in (self._calls[n] for n in names)]
+        at, width = panel.columns.index("day_idx"), len(panel.columns)
+
+        def run(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column(at).to_numpy(), kind="stable")
+            table = table.take(pa.array(order))
+            day = table.column(at).to_numpy()
+            values = [table.column(width + i).cast(pa.float64()).to_numpy() for i in range(len(inputs))]
+            known: dict = {}
+            out = table.select(range(width))
+            for name, (f, x, args, result) in zip(names, calls):
+                if (f, x, args) not in known:
+                    more = (day,) if f == "share_below" else ()
+                    known[f, x, args] = getattr(recursive, f)(values[x], *args, *more)
+                got = known[f, x, args][result]
+                out = out.append_column(name, pa.array(got, pa.float64(), from_pandas=True))  # NaN is missing
+            return out
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema.fields)
+        rows = panel.selectExpr("*", *(f"cast({x} as double) as x{i}_" for i, x in enumerate(inputs)))
+        return rows.groupBy("code").applyInArrow(run, fields + "".join(f", {n} double" for n in names))
+
     def apply(self, panel: DataFrame, outputs: dict[str, str], keep: tuple[str, ...] = ("key", "code")) -> DataFrame:
         """``keep`` and ``outputs`` computed over a dense panel, for present rows."""
         for stage in self.stages(list(outputs.values())):
-            panel = panel.selectExpr("*", *(f"{self.nodes[n][1]} as {n}" for n in stage))
+            if self.nodes[stage[0]][0] == "rows":
+                panel = self._recurse(panel, stage)
+            else:
+                panel = panel.selectExpr("*", *(f"{self.nodes[n][1]} as {n}" for n in stage))
         return panel.where("present").select(*keep, *(F.expr(sql).alias(name) for name, sql in outputs.items()))
 
     def query(self, source: str, outputs: dict[str, str], keep: tuple[str, ...] = ("key", "code"), where: str = "present") -> str:
@@ -154,6 +196,8 @@ class Kernels:
 
     def ewm_adjusted(self, x: str, span: int, least: int, n: int) -> str:
         """Exponential mean with weights that sum to 1 over the values seen, over ``n`` rows at most."""
+        if self.spark:
+            return self.call("ewm_adjusted", x, span, least, n)
         a = 2 / (span + 1)
         step = {"u": f"case when v is null then {1 - a!r} * a.u else {1 - a!r} * a.u + v end", "d": f"case when v is null then {1 - a!r} * a.d else {1 - a!r} * a.d + 1 end"}
         fold = self._fold(self._rows(x, n), {"u": "0e0", "d": "0e0"}, step, "a.u / nullif(a.d, 0)", missing=True)
@@ -185,12 +229,16 @@ class Kernels:
 
     def ewm(self, x: str, span: int) -> str:
         """Exponential mean, seeded with the first value among the last ``rows`` rows."""
+        if self.spark:
+            return self.call("ewm", x, span, self.rows)
         a = 2 / (span + 1)
         step = {"e": f"case when v is null then a.e when a.e is null then v else {a!r} * v + {1 - a!r} * a.e end"}
         return self.time(self._fold(self._rows(x, self.rows), {"e": "cast(null as double)"}, step, "a.e", missing=True))
 
     def macd(self, x: str, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[str, str]:
         """MACD and its distance to its own exponential mean, all seeded at the first row of the node's window."""
+        if self.spark:
+            return tuple(self.call("macd", x, fast, slow, signal, self.rows, result=i) for i in (0, 1))
         f, s, g = (2 / (n + 1) for n in (fast, slow, signal))
         null = "cast(null as double)"
         up = lambda k, a: f"(case when a.{k} is null then v else {a!r} * v + {1 - a!r} * a.{k} end)"
@@ -208,6 +256,8 @@ class Kernels:
 
     def rank_pct(self, x: str, n: int, start: int) -> str:
         """(values up to the last one - 1) / (values - 1) in the frame, from row ``start`` on."""
+        if self.spark:
+            return self.call("share_below", x, max(2, n // HALF), start, n)
         values, size = self._list(x, n), "size" if self.spark else "len"
         keep = f"filter({values}, e -> e <= {x})" if self.spark else f"list_filter({values}, lambda e: e <= {x})"
         return self.time(f"case when day_idx >= {start} and {x} is not null and {size}({values}) >= {max(2, n // HALF)} then ({size}({keep}) - 1e0) / greatest({size}({values}) - 1, 1) end")
