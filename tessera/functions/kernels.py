@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions import recursive
 
@@ -56,16 +57,13 @@ class Kernels:
                 todo += _NODE.findall(self.nodes[name][1])
         out: list[list[str]] = []
         done: set[str] = set()
-        turns = ("rows", "time", "day")
         over = "rows"
         while len(done) < len(need):
             ready = [n for n in self.nodes if n in need and n not in done and done.issuperset(_NODE.findall(self.nodes[n][1]))]
-            now = [n for n in ready if self.nodes[n][0] == over]
-            if now:
-                out.append(now)
-                done.update(now)
-            else:
-                over = turns[(turns.index(over) + 1) % 3]
+            kinds = {self.nodes[n][0] for n in ready}
+            over = over if over in kinds else next(o for o in ("rows", "time", "day") if o in kinds)
+            out.append([n for n in ready if self.nodes[n][0] == over])
+            done.update(out[-1])
         return out
 
     def call(self, function: str, x: str, *args: object, result: int = 0) -> str:
@@ -95,9 +93,9 @@ class Kernels:
                 out = out.append_column(name, pa.array(got, pa.float64(), from_pandas=True))  # NaN is missing
             return out
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema.fields)
+        schema = StructType([*panel.schema.fields, *(StructField(n, DoubleType()) for n in names)])
         rows = panel.selectExpr("*", *(f"cast({x} as double) as x{i}_" for i, x in enumerate(inputs)))
-        return rows.groupBy("code").applyInArrow(run, fields + "".join(f", {n} double" for n in names))
+        return rows.groupBy("code").applyInArrow(run, schema)
 
     def apply(self, panel: DataFrame, outputs: dict[str, str], keep: tuple[str, ...] = ("key", "code")) -> DataFrame:
         """``keep`` and ``outputs`` computed over a dense panel, for present rows."""
