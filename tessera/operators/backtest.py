@@ -1,7 +1,8 @@
 """Grouped long-only back-test: overlapping books that hold each day's signal group for ``fwd`` days.
 
-A group's book depends on its own past only, so groups run side by side (``applyInPandas`` by
-group), each as one pass over its days; what feeds the books (groups of the signal) and what reads
+A group's book depends on its own past only, so groups run side by side, each as one pass over rows
+sorted by day that holds its book and one day of the market; a group gets the rows of a code from the
+day on which the code first had its signal. What feeds the books (groups of the signal) and what reads
 them (summaries) are plain aggregates. Shares are anchored: ``shares / factor`` is constant through
 splits, where factor = adjusted / unadjusted close.
 
@@ -15,6 +16,7 @@ cut down to the lots it does. Money is rounded half to even.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -194,49 +196,93 @@ class Book:
         }
 
 
-def run_book(rows: pd.DataFrame, rules: Rules, book: Book | None = None) -> pd.DataFrame:
-    """One group's days; ``rows`` has the market and, where ``weight`` is set, the group's signal."""
-    book = book or Book(rules)
-    out = []
-    for day, pdf in rows.sort_values(["day_idx", "code"]).groupby("day_idx", sort=True):
-        market = {c: Quote(float(p), float(a), bool(t), n) for c, p, a, t, n in zip(pdf["code"], pdf["close_uq"], pdf["close"], pdf["tradestatus"], pdf["stock_name"])}
-        signal = {c: (float(w), float(s)) for c, w, s in zip(pdf["code"], pdf["weight"], pdf["pred_signal"]) if pd.notna(w)}
-        day = int(day)
-        book.execute(day, market)
-        book.plan = []
-        out.append(book.value_row(day, market) | {"key": pdf["key"].iloc[0]})
-        book.make_plan(day, market, signal)
-    return pd.DataFrame(out)
+#: Columns of a row of a day, as ``run_day`` takes them.
+SIDES = ["code", "close_uq", "close", "tradestatus", "stock_name", "weight", "pred_signal"]
 
 
+def run_day(book: Book, day: int, rows: list[tuple]) -> dict:
+    """One day of a book; ``rows`` (``SIDES``, by code) have the market and, where weight is set, the group's signal."""
+    market = {c: Quote(float(p), float(a), bool(t), n) for c, p, a, t, n, _, _ in rows}
+    signal = {c: (float(w), float(s)) for c, _, _, _, _, w, s in rows if pd.notna(w)}
+    book.execute(day, market)
+    book.plan = []
+    out = book.value_row(day, market)
+    book.make_plan(day, market, signal)
+    return out
+
+
+def days_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, object, list[tuple]]]:
+    """(group, day, key, rows) from batches sorted by group and day; a day may go over several batches."""
+    at, key, held = None, None, []
+    for batch in batches:
+        sides = zip(*(batch[c].tolist() for c in SIDES))
+        for group, day, k, row in zip(batch["group_id"].tolist(), batch["day_idx"].tolist(), batch["key"].tolist(), sides):
+            if (group, day) != at:
+                if at is not None:
+                    yield int(at[0]), int(at[1]), key, held
+                at, key, held = (group, day), k, []
+            if row[0] is not None:  # a row without a code stands for the day
+                held.append(row)
+    if at is not None:
+        yield int(at[0]), int(at[1]), key, held
+
+
+ROWS_AT_ONCE = 1_000
 NAV_SCHEMA = "group_id int, key date, day_idx bigint, cash double, value double, nav double, peak_nav double, drawdown double, cumsum_fee double, n_positions bigint, turnover double, n_buys bigint, n_sells bigint"
 TRADE_SCHEMA = "group_id int, day bigint, code string, kind string, action string, shares double, price double, value double, commission double, signal double, note string"
 
 
 def market_by_group(panel: DataFrame, grouped: DataFrame, num_groups: int) -> DataFrame:
-    """The market once for each group, with the group's signal where it has one."""
+    """Per group and day the rows of codes that have had the group's signal, sorted, with the signal
+    where it has one; and a row without a code, so that every group has every day."""
     sides = panel.select("key", "code", "day_idx", "stock_name", "close", "close_uq", "tradestatus").where("close is not null and close_uq is not null")
-    each = sides.withColumn("group_id", F.explode(F.sequence(F.lit(0), F.lit(num_groups - 1))))
-    return each.join(grouped.select("key", "code", "group_id", "weight", "pred_signal"), ["key", "code", "group_id"], "left")
+    signal = grouped.select("key", "code", F.col("group_id").alias("own"), "weight", "pred_signal")
+    until_now = Window.partitionBy("code").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    each = sides.join(signal, ["key", "code"], "left").withColumn("seen", F.collect_set("own").over(until_now))
+    each = each.withColumn("group_id", F.explode("seen")).drop("seen")
+    mine = F.col("own") == F.col("group_id")
+    each = each.withColumns({"weight": F.when(mine, F.col("weight")), "pred_signal": F.when(mine, F.col("pred_signal"))}).drop("own")
+    every = sides.select("key", "day_idx").distinct().withColumn("group_id", F.explode(F.sequence(F.lit(0), F.lit(num_groups - 1))))
+    both = each.unionByName(every, allowMissingColumns=True)
+    return both.repartition("group_id").sortWithinPartitions("group_id", "day_idx", "code")
 
 
 def backtest(panel: DataFrame, grouped: DataFrame, num_groups: int, rules: Rules) -> DataFrame:
     """A row per group and day: cash, value, nav, drawdown, fees, positions, turnover."""
+    names = [c.split()[0] for c in NAV_SCHEMA.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run_book(pdf, rules).assign(group_id=int(pdf["group_id"].iloc[0]))[[c.split()[0] for c in NAV_SCHEMA.split(", ")]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, book, out = None, Book(rules), []
+        for group, day, key, rows in days_of(batches):
+            if group != last:
+                last, book = group, Book(rules)
+            out.append(run_day(book, day, rows) | {"key": key, "group_id": group})
+            book.trades.clear()
+            if len(out) == ROWS_AT_ONCE:
+                yield pd.DataFrame(out)[names]
+                out = []
+        yield pd.DataFrame(out, columns=names)
 
-    return market_by_group(panel, grouped, num_groups).groupBy("group_id").applyInPandas(run, NAV_SCHEMA)
+    return market_by_group(panel, grouped, num_groups).mapInPandas(run, NAV_SCHEMA)
 
 
 def trade_log(panel: DataFrame, grouped: DataFrame, num_groups: int, rules: Rules) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = Book(rules)
-        run_book(pdf, rules, book)
-        names = [c.split()[0] for c in TRADE_SCHEMA.split(", ")]
-        return pd.DataFrame(book.trades, columns=names[1:]).assign(group_id=int(pdf["group_id"].iloc[0]))[names]
-
-    return market_by_group(panel, grouped, num_groups).groupBy("group_id").applyInPandas(run, TRADE_SCHEMA)
+    names = [c.split()[0] for c in TRADE_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, book, out = None, Book(rules), []
+        for group, day, _, rows in days_of(batches):
+            if group != last:
+                last, book = group, Book(rules)
+            run_day(book, day, rows)
+            out += [t | {"group_id": group} for t in book.trades]
+            book.trades.clear()
+            if len(out) >= ROWS_AT_ONCE:
+                yield pd.DataFrame(out)[names]
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return market_by_group(panel, grouped, num_groups).mapInPandas(run, TRADE_SCHEMA)
 
 
 def summary(nav: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A rolling run trains on the days before each training date (every ``retrain_every``-th day with
 enough history), leaving out the last ``fwd + 1`` days of the window whose labels reach past it,
-and predicts the days up to the next training date. Ridge needs one distributed aggregate per
-training date (the Gram matrix, as wide as the features); only that matrix reaches the driver.
+and predicts the days up to the next training date. Ridge takes one pass over the rows for all
+training dates: a task sums the Gram matrices of its days, days meet in the windows they belong to, and
+a window is solved where its sum is; nothing reaches the driver. Other models fit date by date.
 """
 
 from __future__ import annotations
@@ -207,13 +208,68 @@ def train_days(n_days: int, model_window: int, fwd: int, retrain_every: int) ->
     return out
 
 
+WEIGHTS = "date int, first int, last int, weights array<double>, intercept double"
+
+
+def rolling_ridge(ready: DataFrame, features: list[str], dates: list[tuple[int, int, int, int]], label: str = "label", alpha: float = RIDGE_ALPHA) -> DataFrame:
+    """``WEIGHTS`` of every training date with enough rows, from one pass over ``ready``.
+
+    Rows are dealt out by day, so that a day's matrix is summed in one task; a matrix is sent once for
+    each window that its day lies in.
+    """
+    p = len(features)
+    spans = np.array(dates, int).reshape(-1, 4)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            day = pdf["day_idx"].to_numpy()
+            x = np.column_stack([pdf[[*features, label]].to_numpy(float), np.ones(len(pdf))])
+            for d in np.unique(day):
+                own = x[day == d]
+                for i in np.flatnonzero((spans[:, 0] <= d) & (d <= spans[:, 1])):
+                    held[int(i)] = held.get(int(i), 0) + own.T @ own
+        yield pd.DataFrame({"date": list(held), "gram": [m.astype("<f8").tobytes() for m in held.values()]})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        date, total = None, np.zeros((p + 2, p + 2))
+
+        def row() -> pd.DataFrame:
+            n = int(round(total[p + 1, p + 1]))
+            if date is None or n < LEAST_ROWS:
+                return pd.DataFrame([], columns=["date", "first", "last", "weights", "intercept"])
+            mx, my = total[:p, p + 1] / n, total[p, p + 1] / n
+            w = np.linalg.solve(total[:p, :p] - n * np.outer(mx, mx) + alpha * np.eye(p), total[:p, p] - n * mx * my)
+            return pd.DataFrame([(date, spans[date, 2], spans[date, 3], w.tolist(), float(my - mx @ w))], columns=["date", "first", "last", "weights", "intercept"])
+
+        for pdf in batches:  # sorted by date: one sum is held at a time
+            for d, g in zip(pdf["date"], pdf["gram"]):
+                if d != date:
+                    yield row()
+                    date, total = d, np.zeros((p + 2, p + 2))
+                total += np.frombuffer(g, "<f8").reshape(p + 2, p + 2)
+        yield row()
+
+    grams = ready.select("day_idx", *features, label).repartition("day_idx").mapInPandas(part, "date int, gram binary")
+    return grams.repartition("date").sortWithinPartitions("date", "gram").mapInPandas(solve, WEIGHTS)
+
+
 def rolling_predictions(rows: DataFrame, features: list[str], n_days: int, model: str = "ridge", model_window: int = 60, fwd: int = 5, retrain_every: int = 20, **settings) -> DataFrame:
     """``(key, code, day_idx, _pred)`` over all training dates; a date without enough data gives 0."""
     spark = rows.sparkSession
     ready = filled(rows.where(usable(features)), features)
     ask = filled(rows, features)
+    dates = [d for d in train_days(n_days, model_window, fwd, retrain_every)]
+    if model == "ridge" and dates:
+        asked = ask.where(F.col("day_idx").between(dates[0][2], dates[-1][3]))
+        date = F.floor((F.col("day_idx") - dates[0][2]) / retrain_every).cast("int")
+        if model_window < LEAST_DAYS:
+            return asked.select("key", "code", "day_idx", F.lit(0.0).alias("_pred"))
+        weights = F.broadcast(rolling_ridge(ready, features, dates, **settings).select("date", "weights", "intercept"))  # a row for each training date
+        dot = F.aggregate(F.zip_with(F.array(*features), "weights", lambda x, w: x * w), F.col("intercept"), lambda a, x: a + x)
+        return asked.withColumn("date", date).join(weights, "date", "left").select("key", "code", "day_idx", F.coalesce(dot, F.lit(0.0)).alias("_pred"))
     out = None
-    for a, b, c, d in train_days(n_days, model_window, fwd, retrain_every):
+    for a, b, c, d in dates:
         known = ready.where(F.col("day_idx").between(a, b))
         span = ask.where(F.col("day_idx").between(c, d))
         fitted = MODELS[model](known, features, **settings) if b - a + 1 >= LEAST_DAYS else None

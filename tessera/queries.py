@@ -632,6 +632,8 @@ def _(spark, sf_dir):
     from tessera.streaming.rows import replay, row_window
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-stream-")
     rows = P.panel_user_day(spark, sf_dir).select("key", "code", "close")
     # a file per ten days, in order: a micro-batch each

@@ -1,7 +1,8 @@
 """Sliding windows of rows per code on a stream.
 
-A stream's element is a day's rows. Each code keeps its last ``rows`` values in state; a new row
-gives the mean over them and the change from the row before. Rows that come with an earlier day
+A stream's element is a day's rows. Each code keeps its last ``rows`` values in state, missing ones
+too; a new row gives the mean over those that are there and the change from the row before (missing if
+either is, or if the row before is 0). Rows that come with an earlier day
 than the newest one seen for their code are late and dropped. State is bounded by ``rows`` values a
 code, and a code that is silent for ``idle`` is forgotten.
 """
@@ -26,16 +27,18 @@ def row_window(stream: DataFrame, rows: int, idle: str | None = None) -> DataFra
             state.remove()
             return
         newest, values = state.get if state.exists else (None, [])
-        values = list(values)
+        values = [None if v is None or pd.isna(v) else v for v in values]
         out = []
         got = pd.concat(list(parts)).sort_values("key")
         for day, close in zip(got["key"], got["close"]):
             if newest is not None and day <= newest:
                 continue
-            change = (close - values[-1]) / values[-1] if values and values[-1] else None
-            values = [*values, float(close)][-rows:]
+            close = None if pd.isna(close) else float(close)
+            change = (close - values[-1]) / values[-1] if close is not None and values and values[-1] else None
+            values = [*values, close][-rows:]
             newest = day
-            out.append((key[0], day, len(values), sum(values) / len(values), change))
+            there = [v for v in values if v is not None]
+            out.append((key[0], day, len(values), sum(there) / len(there) if there else None, change))
         state.update((newest, values))
         if idle:
             state.setTimeoutDuration(idle)
