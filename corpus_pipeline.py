@@ -5,7 +5,8 @@ Parquet. All but the last return the columns of ``documents``. Columns are known
 a stage, so further columns may have any names.
 
 Defined cases: an empty table stays empty; a null text has no letters and goes in the first stage;
-rows that share a doc_id are judged each, and stay or go together in the near-duplicate stage.
+rows that share a doc_id, or have none, are documents of their own in the near-duplicate stage, so of
+equal ones one stays; in the stage after it, rows that share a doc_id are one document.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, lines, minhash, packing, quality
-from tessera.llm.common import read_table, settle, shared_dir, small
+from tessera.llm.common import cut, read_table, settle, shared_dir, small
 
 #: Share of good documents among those of a score; lower ones are more likely bad than good.
 LEAST_QUALITY = 0.5
@@ -44,9 +45,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, at, names = _numbered(docs)
-    found = minhash.near_duplicates(rows, at["doc_id"], at["text"], width=5, percent=80)
+    key = at["doc_id"]
+    if not rows.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        key = "_row"  # ids don't tell the rows apart; numbers do, once they are written
+        rows = cut(rows.withColumn(key, F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(rows, key, at["text"], width=5, percent=80)
     gone = found.where("component_id != id").select(F.col("id").alias("_gone")).distinct()
-    return rows.join(small(gone), F.col(at["doc_id"]) == F.col("_gone"), "left_anti").toDF(*names)
+    return rows.join(small(gone), F.col(key) == F.col("_gone"), "left_anti").drop("_row").toDF(*names)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
