@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import SCHEMA, prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import entries
@@ -52,6 +53,16 @@ def test_stages(spark, folder, tmp_path):
     assert kept["packing"] == kept["substring_dedup"]
 
 
+def test_rows_that_ids_do_not_tell_apart(spark):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c), (2, a), (3, None), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).withColumn("_row", F.lit("x"))
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.text or "" for r in got.collect()) == sorted([a, b, c, "", "", ""])
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
 
