@@ -123,7 +123,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     sign = np.where(y == 1, 1.0, -1.0)
     upper = cost * np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum())))
     alpha, w, bias = np.zeros(len(rows)), np.zeros(1 << BITS), 0.0
-    square = np.array([float(v @ v) + 1 for v in values])
+    square = np.array([float(np.square(v, dtype=np.float64).sum()) + 1 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -145,9 +145,9 @@ def _machine(rows: list[np.ndarray], y: np.ndarray) -> Model:
     ratio = log_count_ratio(rows, y)
     values = []
     for g in rows:
-        v = ratio[g].astype(np.float64)
-        n = np.sqrt(v @ v)
-        values.append(v / n if n else v)
+        v = ratio[g]
+        n = np.sqrt(np.square(v, dtype=np.float64).sum())
+        values.append((v / n).astype(np.float32) if n else v)
     w, bias = dual_coordinate_descent(rows, values, y)
     return Model(ratio, (w * ratio).astype(np.float32), bias, 1.0, 0.0)
 
@@ -212,10 +212,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")  # at most max_labelled ids
     types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    # rows that share an id give one example, the one whose n-grams come first
-    found = texts.mapInArrow(tidy(grams), f"id {types['id']}, y {types['y']}, grams binary").groupBy("id", "y").agg(F.min("grams").alias("grams")).collect()
-    found = sorted(found, key=lambda r: r["id"])
-    return fit([np.frombuffer(r["grams"], "<i4").astype(np.int64) for r in found], np.array([r["y"] for r in found], int))
+    # rows that share an id give one example, the one whose n-grams come first; at most max_labelled rows come to the driver
+    found = texts.mapInArrow(tidy(grams), f"id {types['id']}, y {types['y']}, grams binary").groupBy("id", "y").agg(F.min("grams").alias("grams")).toArrow()
+    found = found.sort_by("id")
+    rows = [np.frombuffer(g.as_buffer(), "<i4") for g in found.column("grams")]  # views of the one copy
+    return fit(rows, found.column("y").to_numpy().astype(int))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
