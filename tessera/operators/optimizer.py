@@ -7,6 +7,9 @@ weights of the day before enter as a column.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -104,3 +107,44 @@ def allocate_days(rows: DataFrame, mean_ic: float = 0.05, **settings) -> DataFra
         return pd.DataFrame({"key": pdf["key"], "code": pdf["code"], "weight": w})
 
     return rows.groupBy("key").applyInPandas(run, "key date, code string, weight double")
+
+
+def allocate_path(rows: DataFrame, lookback: int = 60, mean_ic: float = 0.05, **settings) -> DataFrame:
+    """``rows(key, code, pred_signal, ret)`` to ``(key, code, weight)``, each day from the day before.
+
+    Every day with ``lookback`` days of returns is allocated; the weights handed on are those of the
+    day before (equal ones at first, 0 for new codes). Days depend on each other, so one task passes over
+    them in order; it holds ``lookback`` days of returns and one set of weights.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        past: deque[dict] = deque(maxlen=lookback)
+        weights: dict | None = None
+
+        def day(pdf: pd.DataFrame) -> pd.DataFrame | None:
+            nonlocal weights
+            codes = pdf["code"].tolist()
+            past.append(dict(zip(codes, np.nan_to_num(pdf["ret"].to_numpy(float)))))
+            if len(past) < lookback:
+                return None
+            history = np.array([[d.get(c, 0.0) for c in codes] for d in past])
+            before = np.full(len(codes), 1 / len(codes)) if weights is None else np.array([weights.get(c, 0.0) for c in codes])
+            w = allocate(np.nan_to_num(pdf["pred_signal"].to_numpy(float)), history, before, mean_ic, **settings)
+            weights = dict(zip(codes, w))
+            return pd.DataFrame({"key": pdf["key"], "code": codes, "weight": w})
+
+        held, at = [], None
+        for batch in batches:
+            for key, pdf in batch.groupby("key", sort=True):
+                if key != at and held:
+                    out = day(pd.concat(held))
+                    held = []
+                    if out is not None:
+                        yield out
+                at = key
+                held.append(pdf)
+        if held and (out := day(pd.concat(held))) is not None:
+            yield out
+
+    ordered = rows.select("key", "code", "pred_signal", "ret").repartition(1).sortWithinPartitions("key", "code")
+    return ordered.mapInPandas(run, "key date, code string, weight double")

@@ -575,10 +575,8 @@ def _(spark, sf_dir):
 @query("optimizer_weights")
 def _(spark, sf_dir):
     k = Kernels()
-    r = k.hold(f"coalesce({k.pct('close')}, 0e0)")
-    rows = k.apply(dense(spark, sf_dir), {"pred_signal": k.cs_z("volume"), "history": k._list(r, 60), "n": f"case when day_idx >= 100 and day_idx % 20 = 0 then size({k._list(r, 60)}) end"}, ("key", "code"))
-    rows = rows.where("n = 60").withColumn("before", F.lit(0.04))
-    return round_frame(optimizer.allocate_days(rows.select("key", "code", "pred_signal", "history", "before")), 4)
+    rows = k.apply(dense(spark, sf_dir), {"pred_signal": k.cs_z("volume"), "ret": f"coalesce({k.pct('close')}, 0e0)"})
+    return round_frame(optimizer.allocate_path(rows), 4)
 
 
 @query("synthetic_panel")

@@ -337,13 +337,115 @@ def test_optimizer():
     assert w.sum() == pytest.approx(1, abs=1e-6) and np.corrcoef(w, signal)[0, 1] > 0.3
 
 
+def test_weights_are_handed_on(spark):
+    rng = np.random.default_rng(12)
+    days = [dt.date(2021, 1, 1) + dt.timedelta(days=t) for t in range(14)]
+    ret, signal = rng.normal(0, 0.01, (14, 6)), rng.normal(size=(14, 6))
+    rows = [(d, f"c{i}", float(signal[t, i]), float(ret[t, i])) for t, d in enumerate(days) for i in range(6) if (t, i) != (12, 2)]
+    df = spark.createDataFrame(rows, "key date, code string, pred_signal double, ret double")
+    got = O.allocate_path(df, lookback=10, cap=0.5).toPandas().pivot(index="key", columns="code", values="weight")
+    before = dict.fromkeys(range(6), 1 / 6)
+    for t in range(9, 14):
+        there = [i for i in range(6) if (t, i) != (12, 2)]
+        history = ret[t - 9 : t + 1][:, there].copy()
+        if 12 in range(t - 9, t + 1) and 2 in there:
+            history[12 - (t - 9), there.index(2)] = 0
+        w = O.allocate(signal[t, there], history, np.array([before.get(i, 0.0) for i in there]), 0.05, cap=0.5)
+        before = dict(zip(there, w))
+        assert np.allclose(got.loc[days[t]].dropna(), w)
+    assert len(got) == 5
+    flat = O.allocate_path(df, lookback=10, mean_ic=0.0).toPandas()
+    assert set(flat["weight"].round(9)) <= {round(1 / 6, 9), 0.0}
+
+
+def test_rolling_ridge_in_one_pass_equals_date_by_date(spark):
+    rng = np.random.default_rng(13)
+    cells = [(dt.date(2020, 1, 1) + dt.timedelta(days=t), f"c{i}", t, *map(float, rng.normal(size=3))) for t in range(70) for i in range(8)]
+    rows = spark.createDataFrame(cells, "key date, code string, day_idx int, a double, b double, label double")
+    got = M.rolling_predictions(rows, ["a", "b"], 70, model_window=20, fwd=3, retrain_every=15).toPandas().set_index(["code", "day_idx"])["_pred"]
+    x = pd.DataFrame(cells, columns=["key", "code", "t", "a", "b", "y"])
+    for first, last, start, stop in M.train_days(70, 20, 3, 15):
+        own = x[x["t"].between(first, last)]
+        f = own[["a", "b"]].to_numpy() - own[["a", "b"]].to_numpy().mean(0)
+        w = np.linalg.solve(f.T @ f + 42 * np.eye(2), f.T @ (own["y"] - own["y"].mean()))
+        c = own["y"].mean() - own[["a", "b"]].to_numpy().mean(0) @ w
+        for r in x[x["t"].between(start, stop)].itertuples():
+            assert got[r.code, r.t] == pytest.approx(c + w @ [r.a, r.b], abs=1e-9)
+    assert len(got) == 8 * (70 - 23)
+
+
+def plain_book(days, prices, members, fwd, cash):
+    """The rules in short for prices without splits or suspensions: net asset value per day."""
+    lots, plan, nav = {}, [], []
+    fee = lambda v: round(max(v * 0.0005, 5.0), 2)
+    for t in range(days):
+        worth = lambda t=t: round(cash + sum(n * prices[t][c] for (c, _), (n, _) in lots.items()), 2)
+        part = worth() / fwd
+        for rank, _, c, old in plan:
+            p = prices[t][c]
+            each = [lots.pop((c, b))[0] for b in old]
+            held = sum(each)
+            if rank == 3:
+                cash += sum(n * (p - 0.01) - fee(n * (p - 0.01)) for n in each)
+                continue
+            want = round(part * members[t - 1][c][0] / (p + 0.01 if rank == 0 else p) / 100) * 100
+            change = want - held
+            if change > 0:
+                paid = next((n for n in (change, min(change, int(max(0, cash - 5) / (p + 0.01) / 100) * 100)) if n > 0 and cash >= n * (p + 0.01) + fee(n * (p + 0.01))), 0)
+                if paid:
+                    cash -= paid * (p + 0.01) + fee(paid * (p + 0.01))
+                held += paid
+            elif change < 0:
+                cash += -change * (p - 0.01) - fee(-change * (p - 0.01))
+                held += change
+            if held > 0:
+                lots[c, t] = (held, t + fwd)
+        nav.append(worth())
+        part = worth() / fwd
+        due = {}
+        for (c, b), (_, until) in lots.items():
+            if until <= t + 1:
+                due.setdefault(c, []).append(b)
+        plan = []
+        for c, own in due.items():
+            if c not in members[t]:
+                plan.append((3, -100.0, c, own))
+            else:
+                change = round(part * members[t][c][0], 2) - round(sum(lots[c, b][0] for b in own) * prices[t][c], 2)
+                if abs(change) >= 1:
+                    plan.append((2 if change < 0 else 1, members[t][c][1], c, own))
+        plan += [(0, s, c, []) for c, (_, s) in members[t].items() if c not in due]
+        plan.sort(key=lambda o: (-o[0], -o[1], o[2]))
+    return nav
+
+
+def test_books_against_a_plain_loop(spark):
+    rng = np.random.default_rng(14)
+    codes = [f"c{i}" for i in range(9)]
+    price = np.round(10 * np.exp(np.cumsum(rng.normal(0, 0.02, (30, 9)), 0)), 2)
+    signal = rng.normal(size=(30, 9))
+    start = dt.date(2021, 1, 1)
+    rows = [(start + dt.timedelta(days=t), c, t, c, float(price[t, i]), float(price[t, i]), 1, float(signal[t, i])) for t in range(30) for i, c in enumerate(codes)]
+    market = spark.createDataFrame(rows, "key date, code string, day_idx int, stock_name string, close double, close_uq double, tradestatus int, pred_signal double")
+    grouped = S.groups(market.select("key", "code", "pred_signal"), 3)
+    nav = B.backtest(market.drop("pred_signal"), grouped, 3, B.Rules(fwd=3, cash=1e6)).toPandas().pivot(index="day_idx", columns="group_id", values="value")
+    for g in range(3):
+        members = []
+        for t in range(30):
+            order = np.argsort(np.argsort(signal[t]))
+            own = [i for i in range(9) if order[i] // 3 == g]
+            members.append({codes[i]: (1 / len(own), float(signal[t, i])) for i in own})
+        want = plain_book(30, [dict(zip(codes, map(float, p))) for p in price], members, 3, 1e6)
+        assert np.allclose(nav[g], want, atol=0.02), (g, nav[g].to_numpy() - want)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from functools import partial
 
     from tessera.streaming.rows import replay, row_window
 
     rng = np.random.default_rng(9)
-    cells = [(d, c, float(rng.normal())) for d in D for c in ("a", "b")]
+    cells = [(d, c, None if (d, c) == (D[1], "a") else float(rng.normal())) for d in D for c in ("a", "b")]
     for i, d in enumerate(D):
         panel(spark, [x for x in cells if x[0] == d]).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
     schema = "key date, code string, close double"
