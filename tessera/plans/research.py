@@ -36,16 +36,19 @@ class Research:
 
 
 def feature_frame(dense: DataFrame, modules: tuple[str, ...], trim: float) -> DataFrame:
-    """The columns of several modules side by side, for rows that all of them give out.
+    """The columns of several modules side by side, from the first day on which all of them give some out.
 
-    Each module is computed over the same dense panel and hashed by code and day; the joins are on
-    (key, code), so they shuffle the outputs once each.
+    One set of kernels holds them all, so what modules share is computed once and the panel is sorted by
+    code and by day once for each turn between the two, whatever the number of modules.
     """
-    first = max(factors.MODULES[m].first for m in modules)
-    frames = [factors.emitted(dense, m, trim) for m in modules]
-    out = reduce(lambda a, b: a.join(b, ["key", "code"]), frames)
-    days = dense.select("key", "day_idx").distinct()
-    return out.join(F.broadcast(days), "key").where(f"day_idx >= {first - 1}")
+    chosen = [factors.MODULES[m] for m in modules]
+    k = Kernels("spark", max(m.window for m in chosen))
+    columns: dict[str, str] = {}
+    for m in chosen:
+        columns |= factors.emitted_columns(k, m, trim, None)
+    inputs = sorted({c for m in chosen for c in m.inputs})
+    kept = dense.select("code", "key", "day_idx", "present", *inputs)
+    return k.apply(kept, columns, ("key", "code", "day_idx")).where(f"day_idx >= {max(m.first for m in chosen) - 1}")
 
 
 def research(panel: DataFrame, config: PipelineConfig, modules: tuple[str, ...] = PRICE_MODULES) -> Research:

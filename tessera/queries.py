@@ -514,13 +514,48 @@ def _(spark, sf_dir):
     return round_frame(spark.createDataFrame([(*map(float, model.weights), model.intercept)], "w1 double, w2 double, intercept double"), 6)
 
 
+def _gram_sql(source: str, by: str) -> str:
+    """Weights of the two features over ``source``, a row for each value of ``by``."""
+    a = models.RIDGE_ALPHA
+    return f"""(select {by}, (c * u - b * v) / (a * c - b * b) as w1, (a * v - b * u) / (a * c - b * b) as w2, my - m1 * (c * u - b * v) / (a * c - b * b) - m2 * (a * v - b * u) / (a * c - b * b) as b0 from (
+ select {by}, count(*) as n, covar_pop(x1, x1) * count(*) + {a}e0 as a, covar_pop(x1, x2) * count(*) as b, covar_pop(x2, x2) * count(*) + {a}e0 as c, covar_pop(x1, label) * count(*) as u, covar_pop(x2, label) * count(*) as v, avg(x1) as m1, avg(x2) as m2, avg(label) as my
+ from {source} where label is not null group by {by}) where n >= {models.LEAST_ROWS})"""
+
+
+def _rows_sql() -> str:
+    k = Kernels("duckdb")
+    return k.query(P.dense_sql(BRAND), _feature_columns(k), ("key", "code", "day_idx"))
+
+
+def _rolling_sql(every: int, window: int = 60) -> str:
+    train = f"t join d on day_idx between since - {window + FWD} and since - {FWD + 1}"
+    return f"""with t as ({_rows_sql()}),
+ d as (select unnest(range({window + FWD}, (select max(day_idx) + 1 from t), {every})) as since),
+ w as {_gram_sql(train, "since")},
+ p as (select key, code, coalesce(b0 + w1 * x1 + w2 * x2, 0e0) as p from t join d on day_idx between since and since + {every - 1} left join w using (since)),
+ z as (select *, avg(p) over (partition by key) as mu, stddev_pop(p) over (partition by key) as sd from p)
+ select key, code, {rnd('case when sd = 0 then 0e0 else (p - mu) / sd end', 4)} as pred_signal from z"""
+
+
+def _folds_sql(folds: int = 3) -> str:
+    mean_rank = lambda x: f"rank() over (partition by fold, key order by {x}) + (count(*) over (partition by fold, key, {x}) - 1) / 2e0"
+    return f"""with t as (select * from ({_rows_sql()}) where label is not null),
+ s as (select n // {folds + 1} as size, n - (n // {folds + 1}) * {folds + 1} as rest from (select count(distinct key) as n from ({BRAND}))),
+ d as (select fold, size * (fold + 1) + rest as a, size from s, (select unnest(range({folds})) as fold)),
+ w as {_gram_sql("t join d on day_idx < a", "fold")},
+ p as (select fold, key, b0 + w1 * x1 + w2 * x2 as p, label from t join d on day_idx between a and a + size - 1 join w using (fold)),
+ r as (select fold, key, {mean_rank('p')} as x, {mean_rank('label')} as y from p),
+ c as (select fold, key, count(*) as n, case when count(*) > 1 and stddev_pop(x) > 0 and stddev_pop(y) > 0 then corr(x, y) else 0e0 end as ic from r group by fold, key)
+ select cast(fold as int) as fold, cast(sum(n) as bigint) as n, {rnd('avg(ic)')} as rank_ic from c group by fold having sum(n) >= 10"""
+
+
 def _rolling(spark: SparkSession, sf_dir: str, model: str, every: int, **kw) -> DataFrame:
     n_days = P.calendar(P.panel_brand_week(spark, sf_dir)).count()
     out = models.rolling_predictions(_training(spark, sf_dir), _FEATURES, n_days, model, model_window=60, fwd=FWD, retrain_every=every, **kw)
     return round_frame(models.standardised(out).drop("day_idx"), 4)
 
 
-@query("model_rolling_ridge")
+@query("model_rolling_ridge", _rolling_sql(40))
 def _(spark, sf_dir):
     return _rolling(spark, sf_dir, "ridge", 40)
 
@@ -535,12 +570,14 @@ def _(spark, sf_dir):
     return _rolling(spark, sf_dir, "mlp", 150, epochs=3)
 
 
-@query("model_cross_validation")
+@query("model_cross_validation", _folds_sql())
 def _(spark, sf_dir):
     return round_frame(models.cross_validation(_training(spark, sf_dir), _FEATURES, P.calendar(P.panel_brand_week(spark, sf_dir)).count()))
 
 
-@query("model_importance_top")
+@query("model_importance_top", f"""with w as {_gram_sql(f"(select 0 as one, * from ({_rows_sql()}))", "one")},
+ i as (select 'x1' as feature, abs(w1) as size from w union all select 'x2', abs(w2) from w)
+ select feature, (size - (select min(size) from i)) / ((select max(size) from i) - (select min(size) from i)) as importance from i""")
 def _(spark, sf_dir):
     rows = _training(spark, sf_dir)
     model = models.ridge(models.filled(rows.where(models.usable(_FEATURES)), _FEATURES), _FEATURES)
