@@ -326,12 +326,17 @@ def emitted_columns(k: Kernels, module: Module, trim: float, digits: int | None)
     return out
 
 
-def emitted(panel: DataFrame, module: str, trim: float = 0.01, digits: int | None = None) -> DataFrame:
-    """(key, code, factors) of a module over a dense panel, from the first day with output on."""
+def emitted(panel: DataFrame, module: str, trim: float = 0.01, digits: int | None = None, single: bool = False) -> DataFrame:
+    """(key, code, factors) of a module over a dense panel, from the first day with output on.
+
+    With ``single``, what goes into the node and what comes out of it is rounded to single precision.
+    """
     m, k = MODULES[module], Kernels("spark", MODULES[module].window)
     columns = emitted_columns(k, m, trim, digits)
-    kept = panel.select("code", "key", "day_idx", "present", *m.inputs)
-    return k.apply(kept, columns, ("key", "code", "day_idx")).where(f"day_idx >= {m.first - 1}").drop("day_idx")
+    narrow = (lambda x: f"cast(cast({x} as float) as double)") if single else (lambda x: x)
+    kept = panel.selectExpr("code", "key", "day_idx", "present", *(f"{narrow(c)} as {c}" for c in m.inputs))
+    out = k.apply(kept, columns, ("key", "code", "day_idx")).where(f"day_idx >= {m.first - 1}")
+    return out.selectExpr("key", "code", *(f"{narrow(c)} as {c}" for c in columns))
 
 
 def emitted_sql(source: str, module: str, trim: float = 0.01, digits: int | None = None) -> str:

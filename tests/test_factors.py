@@ -79,5 +79,16 @@ def test_emitted_is_standardised(market):
     assert np.allclose(out.groupby("key")[cols].mean(), 0, atol=1e-6)
 
 
+def test_single_precision_between_nodes(market):
+    got = factors.emitted(market, "momentum", single=True).toPandas().sort_values(["key", "code"])
+    cols = [c for c in got.columns if c.startswith("factor_")]
+    x = got[cols].to_numpy()
+    assert np.array_equal(x, x.astype(np.float32).astype(float))
+    inputs = factors.MODULES["momentum"].inputs
+    narrow = market.selectExpr(*(f"cast(cast({c} as float) as double) as {c}" if c in inputs else c for c in market.columns))
+    want = factors.emitted(narrow, "momentum").toPandas().sort_values(["key", "code"])
+    assert np.array_equal(x, want[cols].to_numpy().astype(np.float32).astype(float))
+
+
 def test_correlation_over_60_days_never_fits():
     assert factors.precision(Kernels())["factor_cv_corr_60d"] == "cast(null as double)"
