@@ -38,6 +38,8 @@ from tessera.llm.common import WHITE_SPACE, tidy
 BLOCK_CHARS = 8_000_000
 #: Buckets of words for each shuffle partition, bytes of input that a bucket aims at, and the most buckets.
 BUCKETS_EACH, BUCKET_BYTES, MOST_BUCKETS = 4, 32_000_000, 65_536
+#: From here on a planner's size only says that it doesn't know.
+UNKNOWN_BYTES = 1 << 60
 
 _SPACES = re.compile(f"[{WHITE_SPACE}]")
 _CHUNK = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
@@ -191,6 +193,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     id_type = source.schema["id"].dataType.simpleString()
 
     planned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # by the files' sizes
+    planned = 0 if planned >= UNKNOWN_BYTES else planned
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_parts = max(n_parts, min(planned // BUCKET_BYTES, MOST_BUCKETS) // BUCKETS_EACH)
     n_buckets = BUCKETS_EACH * n_parts
